@@ -106,7 +106,7 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN any_value(d.text) IS NOT NULL THEN sha256(coalesce(string_agg(j.raw, chr(10) ORDER BY j.line_no) FILTER (WHERE NOT gone), '')) END AS text_sha256
         FROM documents d JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id""",
         "op4_shingle_join": r"""
-        WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower_az, '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+        WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower_az, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
                    FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM documents)),
         sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
                         ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s FROM words),
@@ -117,7 +117,7 @@ ORACLE_SQL: dict[str, str] = {
         reach(d, c) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.d, b.y FROM reach r JOIN both_ways b ON b.x = r.c)
         SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.c) AS component_id FROM sets s JOIN reach r ON r.d = s.doc_id GROUP BY s.doc_id, len(s.s)""",
     "op8_mixing": r"""
-        WITH sized AS (SELECT doc_id AS k, source AS s, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')) AS BIGINT) AS size FROM documents),
+        WITH sized AS (SELECT doc_id AS k, source AS s, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
         totals AS (SELECT s, count(*) AS n, sum(size)::BIGINT AS source_size FROM sized GROUP BY s),
         numbered AS (SELECT *, [1, 2, 3][((row_number() OVER (ORDER BY s IS NULL, s) - 1) % 3 + 1)::INT] AS w FROM totals),
         reaching AS (SELECT *, source_size::DOUBLE / w AS reach FROM numbered),
