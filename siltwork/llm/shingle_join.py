@@ -6,9 +6,10 @@ A document is the set of its distinct word shingles (64-bit hashes). Two documen
 1. Size ranges. Linked sets have nearly equal sizes, so the root's children hold ranges of sizes, a factor of
    ``SPREAD`` wide; a set near the border of the next range below also stands in that one.
 2. Token regions. Linked sets of one range differ in at most d tokens. The range cuts the token space into d + 1
-   regions, so linked sets agree on one region altogether. A node of this level holds the sets with the same tokens in
-   one region; nodes with one set hold no pair and are pruned. Nodes that share sets are joined to families, so no
-   pair is ever looked at in two of them.
+   + e regions, so linked sets agree on e regions or more altogether. A node of this level holds the sets with the same
+   tokens in one region. Regions with fewer than two tokens say little: a set with fewer than e of those is only in
+   nodes of its other regions, of which one is always among the e. Nodes with one set hold no pair and are pruned.
+   Nodes that share sets are joined to families, so no pair is ever looked at in two of them.
 3. In each family, a tree of fixed fan-out over its sets in order of their smallest tokens, each node with the OR of
    its children's token bitmaps, their range of sizes and a bound on tokens that bits can hide. Two nodes are compared
    when the maximum overlap that their bitmaps allow reaches the overlap that their sizes require; traversal descends
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import materialize, small_side
 
 SPREAD = 1.5
-FAN_OUT = 8
+FAN_OUT = 64
+#: Tokens below which a region says little.
+WEAK = 2
 FAMILY_ROWS = 4_096
 BATCH_CHARS = 4_000_000
 
@@ -80,28 +83,29 @@ class Shingler:
         return np.unique(out)
 
 
-def size_levels(percent: int, top: int = 1 << 40) -> list[tuple[int, int, int]]:
-    """(smallest size, largest size, regions) of each range. Sets of a range's size differ from any that they link to
-    by at most a part (1 - t) / t of the smaller size, for t = percent / 100."""
+def size_levels(percent: int, top: int = 1 << 40) -> list[tuple[int, int, int, int]]:
+    """(smallest size, largest size, regions, those at least that linked sets agree on) of each range.
+
+    A set that links to another of at least its size differs from it in at most a part (1 - t) / t of its own size, for
+    t = percent / 100. Where no difference is possible there are no regions: equal sets are one set already."""
     out, low = [], 1
     while low < top:
         high = max(low, int(low * SPREAD))
-        out.append((low, high, high * (100 - percent) // percent + 1))
+        d = high * (100 - percent) // percent
+        out.append((low, high, d + 3 + d // 8 if d else 0, 3 + d // 8))
         low = high + 1
     return out
 
 
-def region_keys(tokens: np.ndarray, level: int, regions: int) -> np.ndarray:
-    """A key for each region of the token space: level, region and the tokens in it."""
+def region_keys(tokens: np.ndarray, level: int, regions: int, agree: int) -> np.ndarray:
+    """A key for each region of the token space that says something: of level, region and the tokens in it."""
     at = ((tokens >> np.uint64(32)) * np.uint64(regions)) >> np.uint64(32)
     edges = np.searchsorted(at, np.arange(regions + 1, dtype=np.uint64))
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mix(tokens ^ _M1), dtype=np.uint64)])
     own = sums[edges[1:]] - sums[edges[:-1]]
-    return _mix(own * _M1 + _mix(np.arange(regions, dtype=np.uint64) * _M3 + np.uint64(level + 1))).view(np.int64)
-
-
-def _level_of(levels: list[tuple[int, int, int]], size: int) -> int:
-    return int(np.searchsorted([x[1] for x in levels], size))
+    keys = _mix(own * _M1 + _mix(np.arange(regions, dtype=np.uint64) * _M3 + np.uint64(level + 1))).view(np.int64)
+    strong = np.diff(edges) >= WEAK
+    return keys if regions - np.count_nonzero(strong) >= agree else keys[strong]
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -126,6 +130,7 @@ class SignatureTree:
             marks = np.zeros(self.bits, dtype=np.uint8)
             marks[(s & np.uint64(self.bits - 1)).astype(np.int64)] = 1
             leaf[i] = np.packbits(marks)
+        leaf = leaf.view(np.uint64)
         size = np.array([len(s) for s in sets])
         self.nodes = [(leaf, size, size, size - np.bitwise_count(leaf).sum(axis=1, dtype=np.int64))]
         while len(self.nodes[-1][0]) > 1:
@@ -133,63 +138,58 @@ class SignatureTree:
             at = np.arange(0, len(bits), FAN_OUT)
             self.nodes.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(hidden, at)))
 
-    def may_link(self, level: int, i: int, js: np.ndarray, percent: int) -> np.ndarray:
-        """Those of the nodes js whose maximum overlap with node i reaches what the sizes require."""
+    def may_link(self, level: int, mine: np.ndarray, theirs: np.ndarray, percent: int) -> np.ndarray:
+        """Matrix of the node pairs whose maximum overlap reaches what their sizes require."""
         bits, low, high, hidden = self.nodes[level]
-        most = np.minimum(np.bitwise_count(bits[js] & bits[i]).sum(axis=1, dtype=np.int64) + np.minimum(hidden[js], hidden[i]), np.minimum(high[js], high[i]))
-        return js[(100 + percent) * most >= percent * (low[js] + low[i])]
-
-
-class Components:
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        self.parent[max(a, b)] = min(a, b)
+        common = np.bitwise_count(bits[mine][:, None, :] & bits[theirs][None, :, :]).sum(axis=2, dtype=np.int64)
+        most = np.minimum(common + np.minimum.outer(hidden[mine], hidden[theirs]), np.minimum.outer(high[mine], high[theirs]))
+        return (100 + percent) * most >= percent * np.add.outer(low[mine], low[theirs])
 
 
 def tree_components(sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[int]:
     """For each set the smallest index in its component. known: components already found, by smallest index."""
-    comps = Components(len(sets))
-    for i, c in enumerate(known or []):
-        comps.join(i, c)
+    if len(sets) < 2:
+        return list(range(len(sets)))
     order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]) if len(sets[i]) else 0, len(sets[i])))
     tree = SignatureTree([sets[i] for i in order])
+    # Labels of components, in the tree's order.
+    label = np.arange(len(sets)) if known is None else np.array(known)[order]
 
-    def members(level: int, i: int) -> range:
-        return range(i * FAN_OUT**level, min(len(sets), (i + 1) * FAN_OUT**level))
-
-    def roots(level: int, i: int) -> set[int]:
-        return {comps.find(order[m]) for m in members(level, i)}
+    def members(level: int, i: int) -> slice:
+        return slice(i * FAN_OUT**level, (i + 1) * FAN_OUT**level)
 
     def visit(level: int, i: int, j: int) -> None:
         """Node i against node j of the same level, i <= j."""
-        if len(roots(level, i) | roots(level, j)) == 1:
-            return
-        if level == 0:
-            if i != j and linked(sets[order[i]], sets[order[j]], percent):
-                comps.join(order[i], order[j])
+        a, b = label[members(level, i)], label[members(level, j)]
+        if (a == a[0]).all() and (b == a[0]).all():
             return
         below = len(tree.nodes[level - 1][0])
         mine, theirs = (np.arange(x * FAN_OUT, min(below, (x + 1) * FAN_OUT)) for x in (i, j))
-        for a in mine:
-            for b in tree.may_link(level - 1, int(a), theirs[theirs >= a] if i == j else theirs, percent):
-                visit(level - 1, int(a), int(b))
-
-    top = len(tree.nodes) - 1
-    if top >= 0 and sets:
-        visit(top, 0, 0)
-    return [comps.find(i) for i in range(len(sets))]
-
-
-def shingle_sets(docs: DataFrame, key: str, text: str, words: int, levels: list[tuple[int, int, int]] | None, keep: list[str]) -> DataFrame:
+        may = tree.may_link(level - 1, mine, theirs, percent)
+        if i == j:
+            may = np.triu(may, 1 if level == 1 else 0)
+        if level > 1:
+            for x, y in np.argwhere(may):
+                visit(level - 1, int(mine[x]), int(theirs[y]))
+            return
+        apart = may & np.not_equal.outer(label[mine], label[theirs])
+        while apart.any():
+            x, y = divmod(int(apart.argmax()), len(theirs))
+            u, v = mine[x], theirs[y]
+            if linked(sets[order[u]], sets[order[v]], percent):
+                one, other = sorted((label[u], label[v]))
+                label[label == other] = one
+                apart &= np.not_equal.outer(label[mine], label[theirs])
+            apart[x, y] = False
+
+    visit(len(tree.nodes) - 1, 0, 0)
+    first: dict[int, int] = {}
+    of = np.empty(len(sets), dtype=np.int64)
+    of[order] = label
+    return [first.setdefault(int(c), i) for i, c in enumerate(of)]
+
+
+def shingle_sets(docs: DataFrame, key: str, text: str, words: int, levels: list[tuple[int, int, int, int]] | None, percent: int, keep: list[str]) -> DataFrame:
     """id, n (set size), hash of the set, its region keys if levels are given, else its tokens."""
     carry = [F.col(c) for c in keep]
 
@@ -213,10 +213,10 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int, levels: list[
                         n = len(s)
                         if n:
                             level = int(np.searchsorted(uppers, n))
-                            if levels[level][2] > 1:
-                                own.append(region_keys(s, level, levels[level][2]))
-                            if level and 100 * levels[level - 1][1] >= percent_of[0] * n and levels[level - 1][2] > 1:
-                                own.append(region_keys(s, level - 1, levels[level - 1][2]))
+                            # In its own range and, if it may link to sets of the one below, in that.
+                            for x in (level, level - 1):
+                                if x >= 0 and levels[x][2] and (x == level or 100 * levels[x][1] >= percent * n):
+                                    own.append(region_keys(s, x, *levels[x][2:]))
                         held.append(np.concatenate(own) if own else np.empty(0, dtype=np.int64))
                 else:
                     held = [s.view(np.int64) for s in sets]
@@ -225,7 +225,6 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int, levels: list[
                 yield pa.RecordBatch.from_pydict({c: batch[c].slice(start, at - start) for c in ["id", *keep]} | out)
                 start = at
 
-    percent_of = [levels[0][3] if levels and len(levels[0]) > 3 else 0]
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(F.col(key).alias("id"), F.col(text).alias("t"), *carry).mapInArrow(work, f"id {docs.schema[key].dataType.simpleString()}" + (f", {kinds}" if kinds else "") + ", n long, h long, keys array<long>")
 
@@ -267,7 +266,8 @@ def _family_links(rows: DataFrame, percent: int, by: list[str]) -> DataFrame:
                     yield done()
                     held = []
                 now = group
-                held.append((h, c, s))
+                if not held or held[-1][0] != h:
+                    held.append((h, c, s))
         if held:
             yield done()
 
@@ -283,8 +283,7 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     that of documents linked with it. Other columns of docs are not looked at.
     """
     spark = docs.sparkSession
-    levels = [(*x, percent) for x in size_levels(percent)]
-    sets = materialize(shingle_sets(docs, key, text, words, levels, []), "shingle-sets")
+    sets = materialize(shingle_sets(docs, key, text, words, size_levels(percent), percent, []), "shingle-sets")
 
     # One row for each distinct set.
     classes = sets.where("n > 0").groupBy("h", "n").agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), F.col("id"))).alias("first"))
@@ -305,13 +304,14 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     n_members = lone.count()
     texts = docs.select(F.col(key).alias("__k"), F.col(text).alias("t"))
     picked = texts.join(small_side(lone, n_members), texts["__k"].eqNullSafe(lone["id"])).select("t", "node", "label", "rows")
-    tokens = shingle_sets(picked, "node", "t", words, None, ["label", "rows"]).where("id = h").dropDuplicates(["h"]).withColumn("c", F.col("h"))
-    tokens = materialize(tokens.select("label", "rows", "h", "c", "keys"), "family-tokens")
-
-    links = _family_links(tokens.where(F.col("rows") <= FAMILY_ROWS), percent, ["label"])
-    large = tokens.where(F.col("rows") > FAMILY_ROWS)
-    if n_members > FAMILY_ROWS and large.limit(1).count():
-        links = links.unionByName(_large_links(large, percent))
+    tokens = shingle_sets(picked, "node", "t", words, None, percent, ["label", "rows"]).where("id = h").withColumn("c", F.col("h"))
+    tokens = tokens.select("label", "rows", "h", "c", "keys")
+    if (lone.agg(F.max("rows")).first()[0] or 0) <= FAMILY_ROWS:
+        links = _family_links(tokens, percent, ["label"])
+    else:
+        tokens = materialize(tokens, "family-tokens")
+        links = _family_links(tokens.where(F.col("rows") <= FAMILY_ROWS), percent, ["label"])
+        links = links.unionByName(_large_links(tokens.where(F.col("rows") > FAMILY_ROWS), percent))
     links = materialize(links, "set-links")
     joined = min_labels(links.select(F.col("a").alias("node"), F.col("b").alias("hub")).union(links.select(F.col("b"), F.col("b"))).distinct(), "component")
 
@@ -338,7 +338,7 @@ def _large_links(large: DataFrame, percent: int) -> DataFrame:
     blocks = F.ceil(F.col("left_over") / half).cast("int")
     mine = known.where("rest").withColumn("x", F.pmod(F.xxhash64("h", F.lit(8)), blocks).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), parts - 1)))
     theirs = known.withColumn("y", F.col("part")).withColumn("x", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    grid = mine.select("label", "x", "y", "h", "c", "keys").union(theirs.select("label", "x", "y", "h", "c", "keys")).dropDuplicates(["label", "x", "y", "h"])
+    grid = mine.select("label", "x", "y", "h", "c", "keys").union(theirs.select("label", "x", "y", "h", "c", "keys"))
     return first.unionByName(_family_links(grid, percent, ["label", "x", "y"]))
 
 
