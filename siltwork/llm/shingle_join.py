@@ -9,17 +9,16 @@ A document is the set of its distinct word shingles (64-bit hashes). Two documen
    + e regions, so linked sets agree on e regions or more altogether. A node of this level holds the sets with the same
    tokens in one region. Regions with fewer than two tokens say little: a set with fewer than e of those is only in
    nodes of its other regions, of which one is always among the e. Nodes with one set hold no pair and are pruned.
-   Nodes that share sets are joined to families, so no pair is ever looked at in two of them.
-3. In each family, a tree of fixed fan-out over its sets in order of their smallest tokens, each node with the OR of
-   its children's token bitmaps, their range of sizes and a bound on tokens that bits can hide. Two nodes are compared
-   when the maximum overlap that their bitmaps allow reaches the overlap that their sizes require; traversal descends
-   both sides, to pairs of sets, which are verified on the tokens themselves. Node pairs that already lie in one
-   component are pruned too, so a family of mutual copies costs a spanning tree, not all its pairs.
-
-Levels 1 and 2 are shuffle keys: sets meet only their families. Documents with equal sets are one set throughout.
-A family larger than ``FAMILY_ROWS`` is cut into blocks: block 0 against each block first; what then stands outside of
-the family's largest component against every block, in as many tasks as there are pairs of blocks, each of bounded
-memory. So every linked pair is found, whatever the size of a group.
+3. Below, trees of fixed fan-out, each node with the OR of its children's token bitmaps, their range of sizes and a
+   bound on tokens that bits can hide. Two nodes are compared when the maximum overlap that their bitmaps allow reaches
+   the overlap that their sizes require; traversal descends both sides, to pairs of sets. Node pairs that already lie in
+   one component are pruned too, so mutual copies cost a spanning tree, not all their pairs.
+
+Levels 1 and 2 are shuffle keys. The trees under them hold bitmaps alone; pairs that those can't part join their sets to
+families. Each family then meets once with its tokens, in a tree of its own, whose pairs of sets are verified.
+Documents with equal sets are one set throughout. A group larger than ``GROUP_ROWS`` is cut into blocks: block 0 against
+each block first; what then stands outside of the group's largest component against every block, in as many tasks as
+there are pairs of blocks, each of bounded memory. So every linked pair is found, whatever the size of a group.
 """
 
 from __future__ import annotations
@@ -38,7 +37,7 @@ SPREAD = 1.5
 FAN_OUT = 64
 #: Tokens below which a region says little.
 WEAK = 2
-FAMILY_ROWS = 4_096
+GROUP_ROWS = 8_192
 BATCH_CHARS = 4_000_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -119,19 +118,27 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (both - common)
 
 
+def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
+    marks = np.zeros(bits, dtype=np.uint8)
+    marks[(tokens & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(marks, bitorder="little").view(np.uint64)
+
+
+def bits_for(size: int) -> int:
+    """Bits of the bitmap of a set: twice its size or more, a power of two."""
+    return 1 << min(15, max(6, int(2 * size - 1).bit_length()))
+
+
+def folded(maps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps of one length, the least of theirs: halves of a bitmap ORed are the bitmap of half the length."""
+    least = min(map(len, maps))
+    return np.stack([np.bitwise_or.reduce(m.reshape(-1, least), axis=0) if len(m) > least else m for m in maps])
+
+
 class SignatureTree:
     """Nodes level by level, leaves first; nodes[level] has bits (OR), low, high, hidden for each node."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        most = max((len(s) for s in sets), default=1)
-        self.bits = int(min(1 << 16, max(256, 1 << int(np.ceil(np.log2(4 * most + 1))))))
-        leaf = np.zeros((len(sets), self.bits // 8), dtype=np.uint8)
-        for i, s in enumerate(sets):
-            marks = np.zeros(self.bits, dtype=np.uint8)
-            marks[(s & np.uint64(self.bits - 1)).astype(np.int64)] = 1
-            leaf[i] = np.packbits(marks)
-        leaf = leaf.view(np.uint64)
-        size = np.array([len(s) for s in sets])
+    def __init__(self, leaf: np.ndarray, size: np.ndarray):
         self.nodes = [(leaf, size, size, size - np.bitwise_count(leaf).sum(axis=1, dtype=np.int64))]
         while len(self.nodes[-1][0]) > 1:
             bits, low, high, hidden = self.nodes[-1]
@@ -146,14 +153,16 @@ class SignatureTree:
         return (100 + percent) * most >= percent * np.add.outer(low[mine], low[theirs])
 
 
-def tree_components(sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[int]:
-    """For each set the smallest index in its component. known: components already found, by smallest index."""
-    if len(sets) < 2:
-        return list(range(len(sets)))
-    order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]) if len(sets[i]) else 0, len(sets[i])))
-    tree = SignatureTree([sets[i] for i in order])
+def tree_components(sizes: np.ndarray, maps: list[np.ndarray], percent: int, known: list[int], sets: list[np.ndarray] | None) -> list[int]:
+    """For each set the smallest index in its component. known: components already found, by an index in each. Without
+    sets (tokens), pairs that the bitmaps can't part are joined."""
+    if len(sizes) < 2:
+        return list(range(len(sizes)))
+    leaf = folded(maps)
+    order = np.lexsort((leaf[:, 0], sizes))
+    tree = SignatureTree(leaf[order], sizes[order])
     # Labels of components, in the tree's order.
-    label = np.arange(len(sets)) if known is None else np.array(known)[order]
+    label = np.array(known)[order]
 
     def members(level: int, i: int) -> slice:
         return slice(i * FAN_OUT**level, (i + 1) * FAN_OUT**level)
@@ -176,7 +185,7 @@ def tree_components(sets: list[np.ndarray], percent: int, known: list[int] | Non
         while apart.any():
             x, y = divmod(int(apart.argmax()), len(theirs))
             u, v = mine[x], theirs[y]
-            if linked(sets[order[u]], sets[order[v]], percent):
+            if sets is None or linked(sets[order[u]], sets[order[v]], percent):
                 one, other = sorted((label[u], label[v]))
                 label[label == other] = one
                 apart &= np.not_equal.outer(label[mine], label[theirs])
@@ -184,18 +193,21 @@ def tree_components(sets: list[np.ndarray], percent: int, known: list[int] | Non
 
     visit(len(tree.nodes) - 1, 0, 0)
     first: dict[int, int] = {}
-    of = np.empty(len(sets), dtype=np.int64)
+    of = np.empty(len(sizes), dtype=np.int64)
     of[order] = label
     return [first.setdefault(int(c), i) for i, c in enumerate(of)]
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, words: int, levels: list[tuple[int, int, int, int]] | None, percent: int, keep: list[str]) -> DataFrame:
-    """id, n (set size), hash of the set, its region keys if levels are given, else its tokens."""
+    """id, n (set size), h (hash of the set), bits (bitmap), keys: its region keys if levels are given, else its tokens.
+
+    A set that a task meets again has no keys the second time."""
     carry = [F.col(c) for c in keep]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         uppers = np.array([x[1] for x in levels]) if levels else None
+        met: set[int] = set()
         for batch in batches:
             start = 0
             while start < batch.num_rows:
@@ -205,13 +217,17 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int, levels: list[
                     chars += len(t or "")
                     sets.append(shingler(t))
                     at += 1
-                out = {"n": pa.array([len(s) for s in sets], pa.int64()), "h": pa.array([int(np.sum(_mix(s + _M1), dtype=np.uint64).view(np.int64)) for s in sets], pa.int64())}
+                hashes = [int(np.sum(_mix(s + _M1), dtype=np.uint64).view(np.int64)) for s in sets]
+                out = {"n": pa.array([len(s) for s in sets], pa.int64()), "h": pa.array(hashes, pa.int64()), "bits": pa.array([bitmap(s, bits_for(len(s))).tobytes() for s in sets], pa.binary())}
                 if levels:
                     held = []
-                    for s in sets:
+                    for s, h in zip(sets, hashes, strict=True):
                         own = []
                         n = len(s)
-                        if n:
+                        if n and h not in met:
+                            if len(met) > 500_000:
+                                met.clear()
+                            met.add(h)
                             level = int(np.searchsorted(uppers, n))
                             # In its own range and, if it may link to sets of the one below, in that.
                             for x in (level, level - 1):
@@ -226,7 +242,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int, levels: list[
                 start = at
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("t"), *carry).mapInArrow(work, f"id {docs.schema[key].dataType.simpleString()}" + (f", {kinds}" if kinds else "") + ", n long, h long, keys array<long>")
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("t"), *carry).mapInArrow(work, f"id {docs.schema[key].dataType.simpleString()}" + (f", {kinds}" if kinds else "") + ", n long, h long, bits binary, keys array<long>")
 
 
 def min_labels(edges: DataFrame, name: str) -> DataFrame:
@@ -247,31 +263,48 @@ def min_labels(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def _family_links(rows: DataFrame, percent: int, by: list[str]) -> DataFrame:
-    """(a, b): for each set a of a family (rows: by, h, c, keys) a set b it is connected with, by a signature tree. One
-    family is in memory at a time, a bounded number of rows."""
+def _tree_links(rows: DataFrame, percent: int, by: list[str]) -> DataFrame:
+    """(a, b): for each set a of a group (rows: by, h, c, n, bits, and keys, its tokens, where pairs are to be verified) a
+    set b that the group's signature tree connects it with. One group is in memory at a time, a bounded number of
+    rows."""
+    verify = "keys" in rows.columns
+    cols = [*by, "h", "c", "n", "bits", *["keys"] * verify]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, now = [], None
+        held, now, found = [], None, []
 
-        def done() -> pd.DataFrame:
-            first: dict[int, int] = {}
-            known = [first.setdefault(c, i) for i, (_, c, _) in enumerate(held)]
-            found = tree_components([np.asarray(s, dtype=np.int64).view(np.uint64) for _, _, s in held], percent, known)
-            return pd.DataFrame({"a": [h for h, _, _ in held], "b": [held[i][0] for i in found]})
+        def done() -> None:
+            if len(held) > 1:
+                first: dict[int, int] = {}
+                known = [first.setdefault(x[1], i) for i, x in enumerate(held)]
+                sets = [np.asarray(x[4], dtype=np.int64).view(np.uint64) for x in held] if verify else None
+                at = tree_components(np.array([x[2] for x in held]), [np.frombuffer(x[3], dtype=np.uint64) for x in held], percent, known, sets)
+                found.extend((x[0], held[i][0]) for x, i in zip(held, at, strict=True) if x[0] != held[i][0])
 
         for batch in batches:
-            for *group, h, c, s in zip(*(batch[x] for x in [*by, "h", "c", "keys"]), strict=True):
+            for row in zip(*(batch[x] for x in cols), strict=True):
+                group = row[: len(by)]
                 if now is not None and group != now:
-                    yield done()
+                    done()
                     held = []
                 now = group
-                if not held or held[-1][0] != h:
-                    held.append((h, c, s))
-        if held:
-            yield done()
+                if not held or held[-1][0] != row[len(by)]:
+                    held.append(row[len(by) :])
+            yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+            found = []
+        done()
+        yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return rows.repartition(*by).sortWithinPartitions(*by, "h").select(*cols).mapInPandas(work, "a long, b long")
+
 
-    return rows.repartition(*by).sortWithinPartitions(*by, "h").select(*by, "h", "c", "keys").mapInPandas(work, "a long, b long")
+def _group_links(rows: DataFrame, percent: int, largest: int, name: str) -> DataFrame:
+    """_tree_links of rows (label, rows: size of the group, h, n, bits and perhaps keys)."""
+    rows = rows.withColumn("c", F.col("h"))
+    if largest <= GROUP_ROWS:
+        return _tree_links(rows, percent, ["label"])
+    rows = materialize(rows, name)
+    return _tree_links(rows.where(F.col("rows") <= GROUP_ROWS), percent, ["label"]).unionByName(_large_links(rows.where(F.col("rows") > GROUP_ROWS), percent))
 
 
 def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
@@ -288,14 +321,17 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     # One row for each distinct set.
     classes = sets.where("n > 0").groupBy("h", "n").agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), F.col("id"))).alias("first"))
     keyed = sets.where("n > 0").select("h", F.explode("keys").alias("key"))
-    # Nodes of level 2 that hold two sets or more; of those that hold the same sets, one.
-    nodes = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-    nodes = materialize(nodes, "tree-nodes")
-    members = materialize(keyed.join(small_side(nodes), "key", "left_semi").distinct(), "node-members")
-    same = members.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.sum(F.xxhash64("h").cast("decimal(20,0)")).alias("sum"))
-    kept = same.groupBy("n", "lo", "hi", "sum").agg(F.min("key").alias("key")).select("key")
-    edges = materialize(members.join(kept, "key").select(F.col("h").alias("node"), F.col("key").alias("hub")), "node-edges")
-    families = min_labels(edges, "family")
+    # Nodes of level 2 that hold two sets or more, as fingerprints of what they hold; of those that hold the same, one.
+    mark = F.xxhash64("h")
+    nodes = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.bit_xor(mark).alias("xor"), F.sum(mark.bitwiseAND(0xFFFFFFFF)).alias("sum")).where("lo <> hi")
+    nodes = materialize(nodes.groupBy("lo", "hi", "xor", "sum").agg(F.min("key").alias("key")).select("key"), "tree-nodes")
+    edges = materialize(keyed.join(small_side(nodes), "key", "left_semi").distinct().select(F.col("h").alias("node"), F.col("key").alias("hub")), "node-edges")
+    hubs = edges.groupBy("hub").agg(F.count("*").alias("rows"))
+    largest = hubs.agg(F.max("rows")).first()[0] or 0
+    members = sets.join(edges.select(F.col("node").alias("h")).distinct(), "h", "left_semi").groupBy("h").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
+    rows = edges.withColumnRenamed("node", "h").join(members, "h").join(hubs, "hub").withColumnRenamed("hub", "label")
+    near = materialize(_group_links(rows, percent, largest, "node-bits").distinct(), "near-sets")
+    families = min_labels(near.select(F.col("a").alias("node"), F.col("b").alias("hub")).union(near.select(F.col("b"), F.col("b"))).distinct(), "family")
 
     # The tokens of the sets in families, one document for each set.
     sizes = families.groupBy("label").agg(F.count("*").alias("rows"))
@@ -304,14 +340,8 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     n_members = lone.count()
     texts = docs.select(F.col(key).alias("__k"), F.col(text).alias("t"))
     picked = texts.join(small_side(lone, n_members), texts["__k"].eqNullSafe(lone["id"])).select("t", "node", "label", "rows")
-    tokens = shingle_sets(picked, "node", "t", words, None, percent, ["label", "rows"]).where("id = h").withColumn("c", F.col("h"))
-    tokens = tokens.select("label", "rows", "h", "c", "keys")
-    if (lone.agg(F.max("rows")).first()[0] or 0) <= FAMILY_ROWS:
-        links = _family_links(tokens, percent, ["label"])
-    else:
-        tokens = materialize(tokens, "family-tokens")
-        links = _family_links(tokens.where(F.col("rows") <= FAMILY_ROWS), percent, ["label"])
-        links = links.unionByName(_large_links(tokens.where(F.col("rows") > FAMILY_ROWS), percent))
+    tokens = shingle_sets(picked, "node", "t", words, None, percent, ["label", "rows"]).where("id = h").select("label", "rows", "h", "n", "bits", "keys")
+    links = _group_links(tokens, percent, lone.agg(F.max("rows")).first()[0] or 0, "family-tokens")
     links = materialize(links, "set-links")
     joined = min_labels(links.select(F.col("a").alias("node"), F.col("b").alias("hub")).union(links.select(F.col("b"), F.col("b"))).distinct(), "component")
 
@@ -322,14 +352,15 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
 
 
 def _large_links(large: DataFrame, percent: int) -> DataFrame:
-    """Links of families of more than FAMILY_ROWS sets, in blocks of half as many."""
-    half = FAMILY_ROWS // 2
+    """Links of groups of more than GROUP_ROWS sets, in blocks of half as many."""
+    half = GROUP_ROWS // 2
+    load = [x for x in large.columns if x not in ("label", "rows", "c")]
     parts = F.ceil(F.col("rows") / half).cast("int")
     dealt = large.withColumn("part", F.pmod(F.xxhash64("h", F.lit(7)), parts).cast("int"))
     star = dealt.withColumn("pair", F.when(F.col("part") == 0, F.sequence(F.lit(1), parts - 1)).otherwise(F.array("part"))).withColumn("pair", F.explode("pair"))
-    first = materialize(_family_links(star, percent, ["label", "pair"]), "large-links")
+    first = materialize(_tree_links(star, percent, ["label", "pair"]), "large-links")
     found = min_labels(first.select(F.col("a").alias("node"), F.col("b").alias("hub")).union(first.select(F.col("b"), F.col("b"))).distinct(), "large")
-    known = dealt.drop("c").join(found.select(F.col("node").alias("h"), F.col("label").alias("c")), "h")
+    known = dealt.drop("c").join(found.select(F.col("node").alias("h"), F.col("label").alias("c")), "h", "left").withColumn("c", F.coalesce("c", "h"))
     sizes = known.groupBy("label", "c").agg(F.count("*").alias("m"))
     main = sizes.groupBy("label").agg(F.max(F.struct("m", F.negative("c").alias("c"))).alias("x")).select("label", F.negative(F.col("x.c")).alias("main"))
     known = materialize(known.join(main, "label").withColumn("rest", F.col("c") != F.col("main")), "large-known")
@@ -338,8 +369,8 @@ def _large_links(large: DataFrame, percent: int) -> DataFrame:
     blocks = F.ceil(F.col("left_over") / half).cast("int")
     mine = known.where("rest").withColumn("x", F.pmod(F.xxhash64("h", F.lit(8)), blocks).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), parts - 1)))
     theirs = known.withColumn("y", F.col("part")).withColumn("x", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    grid = mine.select("label", "x", "y", "h", "c", "keys").union(theirs.select("label", "x", "y", "h", "c", "keys"))
-    return first.unionByName(_family_links(grid, percent, ["label", "x", "y"]))
+    grid = mine.select("label", "x", "y", "c", *load).union(theirs.select("label", "x", "y", "c", *load))
+    return first.unionByName(_tree_links(grid, percent, ["label", "x", "y"]))
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
