@@ -130,19 +130,19 @@ def mix_plan(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source
     taken = F.transform(F.sequence(F.lit(1).cast("long"), F.col("m")), lambda i: F.col("whole") + F.when(i <= F.col("part"), 1).otherwise(0))
     verdict = alike.select("s", "k", "size", "source_size", "target", F.posexplode(taken).alias("nth", "times"), "shards", "block", "o")
     copies = F.transform(F.slice(F.coalesce("shards", F.array().cast("array<struct<pass:int,shard:int>>")), F.lit(1), F.col("times")), lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), F.md5(_sealed(f"order-{seed}", x["pass"], F.col("s"), F.col("block"))).alias("block_order"), F.md5(_sealed(f"row-{seed}", x["pass"], F.col("o"), F.col("nth"))).alias("row_order")))
-    verdict = verdict.select("s", "k", F.col("size").alias("__size"), "source_size", "target", "nth", copies.alias("copies"))
+    verdict = verdict.select(F.col("s").alias("__s"), F.col("k").alias("__k"), F.col("size").alias("__size"), F.col("nth").alias("__n"), "source_size", "target", copies.alias("copies"))
 
     # Rows that differ in nothing that decides are told apart by a number.
     nth = F.row_number().over(Window.partitionBy(key, source, "size").orderBy(F.lit(1))) - 1
     numbered = sized.withColumn("__nth", nth)
-    on = numbered[key].eqNullSafe(verdict["k"]) & numbered[source].eqNullSafe(verdict["s"]) & (numbered["size"] == verdict["__size"]) & (numbered["__nth"] == verdict["nth"])
+    on = numbered[key].eqNullSafe(verdict["__k"]) & numbered[source].eqNullSafe(verdict["__s"]) & (numbered["size"] == verdict["__size"]) & (numbered["__nth"] == verdict["__n"])
     return numbered.join(verdict, on).select(*docs.columns, "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", seed: str = "42") -> DataFrame:
     """The mix: each row of docs as often as mix_plan takes it, with shard, block_order and row_order, shuffled inside
     its shard when sorted by the latter two. Added columns replace those of the same name."""
-    docs = docs.drop(*[c for c in docs.columns if c in ("shard", "block_order", "row_order")])
-    plan = mix_plan(docs, text=text, key=key, source=source, seed=seed)
-    one = plan.withColumn("__c", F.explode("copies"))
-    return one.select(*[c for c in docs.columns if c not in ("size", "source_size", "target", "copies")], F.col("__c.shard").alias("shard"), F.col("__c.block_order").alias("block_order"), F.col("__c.row_order").alias("row_order"))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(key).alias("k"), F.col(source).alias("s"), F.col(text).alias("t"))
+    one = mix_plan(rows, text="t", key="k", source="s", seed=seed).withColumn("__c", F.explode("copies"))
+    added = ("shard", "block_order", "row_order")
+    return one.select(*[F.col(f"__row.`{c}`") for c in docs.columns if c not in added], *[F.col(f"__c.{c}") for c in added])

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import fresh_path
 
 #: A bucket's rows are in memory at once.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
 SEED = 42
 
 
