@@ -113,7 +113,7 @@ def train(paragraphs: list[str], *, templates: dict[str, tuple[str, ...]] | None
     loose = sorted(every)
     for w in others:
         extra = [loose[i] for i in rng.integers(len(loose), size=2)] if rng.random() < 0.3 else []
-        data.append((*features(w[:200] + extra), 0))
+        data.append((*features(w + extra), 0))
     order = rng.permutation(len(data))
     aside, learn = order[: len(order) // 10], order[len(order) // 10 :]
     weights = ftrl([data[i] for i in learn], FEATURES, len(families), epochs=4, alpha=1.0, l1=1e-3, l2=1e-5, seed=seed)
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", seed: int =
     n = rows.count()
     few = rows.where(F.col("u") / 2.0**64 + 0.5 < F.lit(sample / max(n, 1))).orderBy("u").limit(sample)
     lines = few.select("u", F.posexplode(F.split("t", "\n")).alias("i", "line")).where(F.trim("line") != "").select("line", F.xxhash64("u", "i").alias("v"))
-    picked = lines.orderBy("v").limit(sample).select("v", F.substring("line", 1, 4_000).alias("line"))
+    picked = lines.orderBy("v").limit(sample).select("v", "line")
     return train([r["line"] for r in sorted(picked.collect(), key=lambda r: r["v"])], seed=seed)
 
 
