@@ -130,19 +130,29 @@ def mix_plan(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source
     taken = F.transform(F.sequence(F.lit(1).cast("long"), F.col("m")), lambda i: F.col("whole") + F.when(i <= F.col("part"), 1).otherwise(0))
     verdict = alike.select("s", "k", "size", "source_size", "target", F.posexplode(taken).alias("nth", "times"), "shards", "block", "o")
     copies = F.transform(F.slice(F.coalesce("shards", F.array().cast("array<struct<pass:int,shard:int>>")), F.lit(1), F.col("times")), lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), F.md5(_sealed(f"order-{seed}", x["pass"], F.col("s"), F.col("block"))).alias("block_order"), F.md5(_sealed(f"row-{seed}", x["pass"], F.col("o"), F.col("nth"))).alias("row_order")))
-    verdict = verdict.select(F.col("s").alias("__s"), F.col("k").alias("__k"), F.col("size").alias("__size"), F.col("nth").alias("__n"), "source_size", "target", copies.alias("copies"))
+    # All copies of what shares key, source and size in one row, in the order of nth.
+    verdict = verdict.select("s", "k", "size", "source_size", "target", "nth", copies.alias("c")).groupBy("s", "k", "size").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.array_sort(F.collect_list(F.struct("nth", "c"))).alias("__all"))
+    verdict = verdict.select(F.xxhash64("k", "s", "size").alias("__h"), F.struct("k", "s", "size").alias("__v"), "source_size", "target", "__all")
 
-    # Rows that differ in nothing that decides are told apart by a number.
-    nth = F.row_number().over(Window.partitionBy(key, source, "size").orderBy(F.lit(1))) - 1
-    numbered = sized.withColumn("__nth", nth)
-    on = numbered[key].eqNullSafe(verdict["__k"]) & numbered[source].eqNullSafe(verdict["__s"]) & (numbered["size"] == verdict["__size"]) & (numbered["__nth"] == verdict["__n"])
-    return numbered.join(verdict, on).select(*docs.columns, "size", "source_size", "target", "copies")
+    # Joined by one hash, so that rows with their texts are shuffled once: the numbers that tell rows apart that differ in
+    # nothing that decides are given inside the same partitions.
+    wide = sized.withColumn("__h", F.xxhash64(key, source, "size"))
+    same = F.col(key).eqNullSafe(F.col("__v.k")) & F.col(source).eqNullSafe(F.col("__v.s")) & (F.col("size") == F.col("__v.size"))
+    met = wide.join(verdict, "__h").where(F.when(same, F.lit(True)).otherwise(F.lit(False)))
+    nth = F.row_number().over(Window.partitionBy("__h", key, source, "size").orderBy(F.lit(1)))
+    return met.withColumn("copies", F.get(F.col("__all"), nth - 1)["c"]).select(*docs.columns, "size", "source_size", "target", "copies")
+
+
+def taken_rows(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", seed: str = "42") -> DataFrame:
+    """(row: all columns of docs, copy: pass, shard, block_order, row_order) for each time that the mix takes a row."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"), F.col(source).alias("s"), F.col(text).alias("t"))
+    plan = mix_plan(rows, text="t", key="k", source="s", seed=seed)
+    return plan.select("row", F.explode("copies").alias("copy"))
 
 
 def mix(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", seed: str = "42") -> DataFrame:
     """The mix: each row of docs as often as mix_plan takes it, with shard, block_order and row_order, shuffled inside
     its shard when sorted by the latter two. Added columns replace those of the same name."""
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(key).alias("k"), F.col(source).alias("s"), F.col(text).alias("t"))
-    one = mix_plan(rows, text="t", key="k", source="s", seed=seed).withColumn("__c", F.explode("copies"))
     added = ("shard", "block_order", "row_order")
-    return one.select(*[F.col(f"__row.`{c}`") for c in docs.columns if c not in added], *[F.col(f"__c.{c}") for c in added])
+    taken = taken_rows(docs, text=text, key=key, source=source, seed=seed)
+    return taken.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in added], *[F.col(f"copy.{c}") for c in added])
