@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltwork.operators.order import with_rank
+
 
 def advantages(rows: DataFrame, keys: list[str], reward: str) -> DataFrame:
     """(reward - mean) / (population deviation + 1e-8) in groups of two or more."""
@@ -56,7 +58,7 @@ def group_split(rows: DataFrame, group: str, share: float, seed: str) -> DataFra
     groups = rows.select(group).distinct().withColumn("o", F.md5(F.concat(F.lit(seed + "|"), F.col(group).cast("string"))))
     n = groups.agg(F.count("*").alias("n"))
     cut = F.greatest(F.lit(1), F.floor(F.col("n") * share))
-    ranked = groups.withColumn("r", F.row_number().over(Window.orderBy("o", group)))
+    ranked = with_rank(groups, [F.col("o"), F.col(group)], "r")
     which = ranked.crossJoin(F.broadcast(n)).select(group, F.when(F.col("r") <= cut, "val").otherwise("train").alias("split"))
     return rows.join(which, group)
 
@@ -65,3 +67,43 @@ def numbered_keys(rows: DataFrame, base: str, arrival: str) -> DataFrame:
     """Keys made distinct: the second of a key gets __dup2, and so on."""
     n = F.row_number().over(Window.partitionBy(base).orderBy(arrival))
     return rows.withColumn("chunk_key", F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("__dup"), n.cast("string"))))
+
+
+def best_and_alike_worst(rows: DataFrame, keys: list[str], score: str, arrival: str, input_hash: str, least_gap: float, least_chosen: float) -> DataFrame:
+    """The first of the best of each group against the worst (of equals the last) that had the same input, where the
+    best reaches least_chosen and they lie least_gap apart. Aggregates meet rows by a join, which splits hot groups."""
+    known = rows.where(F.col(score).isNotNull()).select(*keys, score, arrival, input_hash)
+    best = known.groupBy(*keys).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(arrival)).alias("a"), F.col(input_hash).alias("h"))).alias("b"))
+    best = best.select(*keys, F.col("b.s").alias("chosen_score"), (-F.col("b.a")).alias("chosen"), F.col("b.h").alias(input_hash)).where(F.col("chosen_score") >= least_chosen)
+    others = known.join(best, [*keys, input_hash]).where((F.col(arrival) != F.col("chosen")) & (F.col("chosen_score") - F.col(score) >= least_gap))
+    worst = others.groupBy(*keys, "chosen", "chosen_score").agg(F.min(F.struct(F.col(score).alias("s"), (-F.col(arrival)).alias("a"))).alias("w"))
+    return worst.select(*keys, "chosen", (-F.col("w.a")).alias("rejected"), "chosen_score", F.col("w.s").alias("rejected_score"), (F.col("chosen_score") - F.col("w.s")).alias("score_gap"))
+
+
+def one_against_all(rows: DataFrame, keys: list[str], score: str, arrival: str) -> DataFrame:
+    """The best row of each group as chosen, paired with each other row of it."""
+    best = rows.where(F.col(score).isNotNull()).groupBy(*keys).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(arrival)).alias("a"))).alias("b"))
+    best = best.select(*keys, (-F.col("b.a")).alias("chosen"), F.col("b.s").alias("chosen_score"))
+    rest = rows.where(F.col(score).isNotNull()).select(*keys, F.col(arrival).alias("rejected"), F.col(score).alias("rejected_score"))
+    return rest.join(best, keys).where("rejected != chosen")
+
+
+def melt_columns(rows: DataFrame, keys: list[str], columns: dict[str, str], name: str, value: str) -> DataFrame:
+    """A row for each of the named columns: {column: label}."""
+    return rows.unpivot([F.col(k) for k in keys], [F.col(c).alias(label) for c, label in columns.items()], name, value)
+
+
+def diverse_top_k(rows: DataFrame, keys: list[str], flaw: str, strategy: str, score: str, arrival: str, k: int) -> DataFrame:
+    """Up to k rows of each group: the best of each flaw, then strategies that those don't use, then the rest."""
+    w = Window.partitionBy(*keys)
+    first = F.row_number().over(Window.partitionBy(*keys, flaw).orderBy(F.desc(score), arrival)) == 1
+    got = rows.withColumn("__first", first).withColumn("__used", F.collect_set(F.when(F.col("__first"), F.col(strategy))).over(w))
+    got = got.withColumn("tier", F.when(F.col("__first"), 1).when(~F.array_contains("__used", F.col(strategy)), 2).otherwise(3))
+    place = F.row_number().over(w.orderBy("tier", F.desc(score), arrival))
+    return got.withColumn("place", place).where(F.col("place") <= k).drop("__first", "__used")
+
+
+def category_rates(rows: DataFrame, keys: list[str], category: str, groups: dict[str, list[int]]) -> DataFrame:
+    """The share of each set of category codes among rows with one."""
+    known = rows.where(F.col(category).isNotNull())
+    return known.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(F.col(category).isin(*codes).cast("double")).alias(name) for name, codes in groups.items()])

@@ -11,6 +11,7 @@ from siltwork.functions import text as T
 from siltwork.operators import pairs as P
 from siltwork.operators import retrieve as R
 from siltwork.operators import select as S
+from siltwork.operators.order import with_rank
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -289,7 +290,7 @@ def dup_safe_keys(spark, d):
 def curriculum_order(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
     rows = rows.select("doc_id", F.round(1 - F.col("quality") * 0.5 - F.least("n_chars", F.lit(10000)) / 20000.0, 6).alias("difficulty"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("difficulty", "doc_id")))
+    return with_rank(rows, [F.col("difficulty"), F.col("doc_id")], "place")
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) <= 1000 THEN md5(text) ELSE md5(left(text, 700) || chr(10) || '...' || chr(10) || right(text, 300)) END AS shortened_md5, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n_lines FROM documents""")
@@ -308,5 +309,5 @@ def safe_filenames(spark, d):
 def gap_split_70_30(spark, d):
     g = table(spark, d, "events").where("value IS NOT NULL").groupBy("user_id").agg((F.max("value") - F.min("value")).alias("gap"), F.count("*").alias("c")).where("c >= 2")
     n = g.agg(F.count("*").alias("n"))
-    r = g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("gap"), "user_id"))).crossJoin(F.broadcast(n))
+    r = with_rank(g, [-F.col("gap"), F.col("user_id")], "place").crossJoin(F.broadcast(n))
     return r.select("user_id", F.round("gap", 6).alias("gap"), "place", F.when(F.col("place") <= F.bround(F.col("n") * 0.7), "natural").otherwise("synthetic").alias("part"))
