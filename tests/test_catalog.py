@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from siltwork.plans import catalog, files, parsing, quality, statistics  # noqa: F401
+from siltwork.plans import catalog, files, parsing, quality, rewards, statistics  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
