@@ -72,8 +72,9 @@ def retrieve_reward(c: Column, source: Column) -> Column:
     marked = F.regexp_extract_all(t, F.lit(r"(?i)(?:Evidence|Quote|Span)\s*:?\s*([^.\n]{18,220}(?:\.|$))"), F.lit(1))
     plain = F.transform(F.filter(P.lines(t), lambda x: F.length(P.stripped(x)) > 18), lambda x: P.stripped(x, r" \-0-9."))
     snippets = F.when(F.size(marked) > 0, marked).otherwise(plain)
-    held = F.filter(F.slice(snippets, 1, 6), lambda s: M.quote_contained(s, source) | (M.content_overlap(s, F.substring(source, 1, 12_000)) > 0.05))
-    share = F.size(held) / F.greatest(F.lit(1), F.least(F.size(snippets), F.lit(6)))
+    near = M.content_words(F.substring(F.coalesce(source, F.lit("")), 1, 12_000))
+    held = T.let(near, lambda words: F.size(F.filter(F.slice(snippets, 1, 6), lambda s: M.quote_contained(s, source) | (T.jaccard(M.content_words(s), words) > 0.05))))
+    share = held / F.greatest(F.lit(1), F.least(F.size(snippets), F.lit(6)))
     return F.when(t == "", 0.0).otherwise(F.round(_clamped(0.25 + 0.55 * share + 0.20 * Q.capped(F.size(snippets) / 3.0)), 4))
 
 
@@ -88,21 +89,28 @@ def statement_specificity(c: Column) -> Column:
 def synthesis_reward(c: Column, source: Column) -> Column:
     """The mean score of the statements of a text and a factor of their number; 0 without any. A statement is scored by
     its quotes in the source, its own overlap, its specificity and how like the others it is."""
-    statements = P.bullets(c)
-    near = F.substring(F.coalesce(source, F.lit("")), 1, SOURCE_CHARACTERS)
+    items = F.transform(P.bullets(c), lambda s: F.struct(s.alias("s"), M.content_words(s).alias("w")))
+    near = M.content_words(F.substring(F.coalesce(source, F.lit("")), 1, SOURCE_CHARACTERS))
 
-    def scored(s: Column) -> Column:
+    def scored(item: Column, every: Column, words: Column) -> Column:
+        s, w = item["s"], item["w"]
         quotes = F.regexp_extract_all(s, F.lit("[\"“‘']([^\"”’']{12,200})[\"”’']"), F.lit(1))
-        by_quote = F.array_max(F.transform(quotes, lambda q: F.when(M.quote_contained(q, source), 1.0).otherwise(Q.capped(3.0 * M.content_overlap(q, near)))))
-        grounded = F.coalesce(by_quote, Q.capped(2.2 * M.content_overlap(s, near)))
-        evidence = _clamped(0.35 * (F.size(quotes) > 0).cast("double") + 0.65 * grounded)
-        alike = F.coalesce(F.array_max(F.transform(F.filter(statements, lambda o: o != s), lambda o: M.content_overlap(s, o))), F.lit(0.0))
-        return F.round(_clamped(0.42 * grounded + 0.24 * statement_specificity(s) + 0.20 * evidence + 0.04 * (1.0 - alike)), 4)
-
-    n = F.size(statements)
-    factor = F.when(n.between(2, 7), 1.0).when(n <= 10, 0.80).otherwise(0.55)
-    mean = F.aggregate(F.transform(statements, scored), F.lit(0.0), lambda a, x: a + x) / n
-    return F.when(n == 0, 0.0).otherwise(F.round(_clamped(0.90 * mean + 0.10 * factor), 4))
+        by_quote = F.array_max(F.transform(quotes, lambda q: F.when(M.quote_contained(q, source), 1.0).otherwise(Q.capped(3.0 * T.jaccard(M.content_words(q), words)))))
+        alike = F.coalesce(F.array_max(F.transform(F.filter(every, lambda o: o["s"] != s), lambda o: T.jaccard(w, o["w"]))), F.lit(0.0))
+
+        def total(grounded: Column) -> Column:
+            evidence = _clamped(0.35 * (F.size(quotes) > 0).cast("double") + 0.65 * grounded)
+            return F.round(_clamped(0.42 * grounded + 0.24 * statement_specificity(s) + 0.20 * evidence + 0.04 * (1.0 - alike)), 4)
+
+        return T.let(F.coalesce(by_quote, Q.capped(2.2 * T.jaccard(w, words))), total)
+
+    def reward(x: Column) -> Column:
+        every, n = x["items"], F.size(x["items"])
+        factor = F.when(n.between(2, 7), 1.0).when(n <= 10, 0.80).otherwise(0.55)
+        mean = F.aggregate(F.transform(every, lambda item: scored(item, every, x["words"])), F.lit(0.0), lambda a, v: a + v) / n
+        return F.when(n == 0, 0.0).otherwise(F.round(_clamped(0.90 * mean + 0.10 * factor), 4))
+
+    return T.let(F.struct(items.alias("items"), near.alias("words")), reward)
 
 
 def worker_reward(search: Column, retrieve: Column, synthesis: Column) -> Column:

@@ -81,3 +81,9 @@ def harmonic(a: Column, b: Column) -> Column:
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once a row, wherever f uses it: an expression inside a lambda would be computed for
+    each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
