@@ -2,7 +2,8 @@
 
 A line is what stands between two newlines, without blanks, tabs and carriage returns at its ends. Lines of
 fewer than ``min_chars`` characters are never touched. A line goes if an equal line, or one at edit distance 1,
-stands earlier in the order (doc_id, line number). Nothing else about a document changes.
+stands earlier in the order (doc_id, hash of the text, line number). Nothing else about a document changes. A document
+is an id with a text: different texts under one id, or without an id, are different documents.
 
 How the neighbourhood stays affordable: a single edit lies in one of ``BLOCKS`` stretches of the line, so two lines
 within the bound agree on all that is outside of that stretch. Every line therefore first emits the neighbourhood
@@ -29,7 +30,8 @@ def _norm(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
-    return docs.select(F.col(key).alias("d"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("no", "raw")).select("d", "no", _norm(F.col("raw")).alias("line"))
+    named = docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))  # hashed once a text, not once a line
+    return named.select("d", "th", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "raw")).select("d", "th", "no", _norm(F.col("raw")).alias("line"))
 
 
 def _stretch_keys(line: Column, n: Column) -> Column:
@@ -44,23 +46,23 @@ def _stretch_keys(line: Column, n: Column) -> Column:
 
 
 def line_verdicts(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_chars: int = 16) -> DataFrame:
-    """One row (d, gone: array of line numbers to drop) for each document that loses lines."""
+    """One row (d, th: hash of the text, gone: array of line numbers to drop) for each document that loses lines."""
     spark = docs.sparkSession
     docs = docs.select(key, text)
     base = _lines(docs, text, key).withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
-    lines = materialize(base.select("d", "no", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "n", _stretch_keys(F.col("line"), F.col("n")).alias("keys")), "lines")
+    lines = materialize(base.select("d", "th", "no", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "n", _stretch_keys(F.col("line"), F.col("n")).alias("keys")), "lines")
 
-    first = lines.groupBy("h", "g").agg(F.min(F.struct("d", "no")).alias("first"))
+    first = lines.groupBy("h", "g").agg(F.min(F.struct("d", "th", "no")).alias("first"))
     keyed = lines.select("h", "g", "n", F.posexplode("keys").alias("slot", "key"))
     shared = materialize(keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"), "shared-keys")
-    candidates = materialize(keyed.join(small_side(shared), "key", "left_semi").select("h", "g", "slot", "key").distinct().join(first, ["h", "g"]).select("h", "g", "slot", "key", F.col("first.d").alias("d"), F.col("first.no").alias("no")), "stretch-candidates")
+    candidates = materialize(keyed.join(small_side(shared), "key", "left_semi").select("h", "g", "slot", "key").distinct().join(first, ["h", "g"]).select("h", "g", "slot", "key", F.col("first.d").alias("d"), F.col("first.th").alias("th"), F.col("first.no").alias("no")), "stretch-candidates")
 
     # The texts of candidate lines, once for each distinct line.
-    where = candidates.groupBy("h", "g").agg(F.first("d").alias("d"), F.first("no").alias("no"))
+    where = candidates.groupBy("h", "g").agg(F.first("d").alias("d"), F.first("th").alias("th"), F.first("no").alias("no"))
     lookup = small_side(materialize(where, "candidate-lines"))
-    split = docs.select(F.col(key).alias("d"), F.col(text).alias("t"))
+    split = docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
     texts = materialize(
-        split.join(lookup, split["d"].eqNullSafe(lookup["d"])).select("h", "g", split["d"], "no", _norm(F.element_at(F.split("t", "\n"), F.col("no") + 1)).alias("line")).where((F.xxhash64("line") == F.col("h")) & (F.hash("line") == F.col("g"))).dropDuplicates(["h", "g"]),
+        split.join(lookup, split["d"].eqNullSafe(lookup["d"]) & (split["th"] == lookup["th"])).select("h", "g", split["d"], split["th"], "no", _norm(F.element_at(F.split("t", "\n"), F.col("no") + 1)).alias("line")).where((F.xxhash64("line") == F.col("h")) & (F.hash("line") == F.col("g"))).dropDuplicates(["h", "g"]),
         "candidate-texts",
     )
 
@@ -69,7 +71,7 @@ def line_verdicts(docs: DataFrame, *, text: str = "text", key: str = "doc_id", m
     role, q = F.floor(F.col("slot") / BLOCKS), F.col("slot") % BLOCKS
     t = F.col("n") - role
     a, b = F.floor(t * q / BLOCKS).cast("int"), (F.floor(t * (q + 1) / BLOCKS) + role).cast("int")
-    mids = ranked.select("key", "h", "g", F.struct("d", "no").alias("at"), role.cast("int").alias("role"), F.substring("line", a + 1, b - a).alias("mid"), (b - a).alias("m"))
+    mids = ranked.select("key", "h", "g", F.struct("d", "th", "no").alias("at"), role.cast("int").alias("role"), F.substring("line", a + 1, b - a).alias("mid"), (b - a).alias("m"))
     cut = F.transform(F.sequence(F.lit(1), F.col("m")), lambda i: F.struct(F.when(F.col("role") == 0, i).otherwise(F.lit(0)).alias("p"), F.xxhash64(F.concat(F.substring(F.col("mid"), F.lit(1), i - 1), F.substring(F.col("mid"), i + 1, F.col("m")))).alias("v"), F.lit(False).alias("whole")))
     whole = F.array(F.struct(F.lit(0).alias("p"), F.xxhash64("mid").alias("v"), F.lit(True).alias("whole")))
     cuts = F.when(F.col("m") < 1, F.array().cast("array<struct<p:int,v:bigint,whole:boolean>>")).otherwise(cut)
@@ -84,26 +86,26 @@ def line_verdicts(docs: DataFrame, *, text: str = "text", key: str = "doc_id", m
     near = materialize(pairs.join(texts.select("h", "g", "line"), ["h", "g"]).join(other, ["bh", "bg"]).where(F.levenshtein("line", "earlier") <= 1).select("h", "g").distinct(), "near-lines").withColumn("near", F.lit(True))
 
     decided = first.join(small_side(near), ["h", "g"], "left")
-    return lines.select("d", "no", "h", "g").join(decided, ["h", "g"]).where(F.col("near").isNotNull() | (F.struct("d", "no") != F.col("first"))).groupBy("d").agg(F.collect_set("no").alias("gone"))
+    return lines.select("d", "th", "no", "h", "g").join(decided, ["h", "g"]).where(F.col("near").isNotNull() | ~F.struct("d", "th", "no").eqNullSafe(F.col("first"))).groupBy("d", "th").agg(F.collect_set("no").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_chars: int = 16) -> DataFrame:
     """docs with each text freed of lines that occur earlier; adds n_lines and n_removed.
 
-    Null text stays null with no lines; an empty text has one empty line and stays. Rows that share a key are copies
-    of one document and are judged by line number, alike. Null keys count as the smallest key. A document all of
-    whose lines go has an empty text; dropping it is the caller's choice. Columns of docs keep their names; the
-    two added replace columns of the same name.
+    Null text stays null with no lines; an empty text has one empty line and stays. Rows that share key and text are
+    copies of one document and are judged alike; rows that share a key alone are documents of their own. Null keys
+    count as the smallest key. A document all of whose lines go has an empty text; dropping it is the caller's choice.
+    Columns of docs keep their names; the two added replace columns of the same name.
     """
     extra = [c for c in docs.columns if c in ("n_lines", "n_removed")]
     docs = docs.drop(*extra)
-    gone = materialize(line_verdicts(docs, text=text, key=key, min_chars=min_chars).withColumnRenamed("d", "__d").withColumnRenamed("gone", "__gone"), "gone-lines")
+    gone = materialize(line_verdicts(docs, text=text, key=key, min_chars=min_chars).withColumnsRenamed({"d": "__d", "th": "__th", "gone": "__gone"}), "gone-lines")
     rows = gone.agg(F.count("*"), F.sum(F.size("__gone"))).first()
     side = F.broadcast(gone) if (rows[0] or 0) + (rows[1] or 0) <= 4_000_000 else gone
     parts = F.split(F.col(text), "\n")
     keep = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
     left = F.array_join(F.transform(keep, lambda i: F.element_at(F.col("__parts"), i + 1)), "\n")
-    out = docs.join(side, docs[key].eqNullSafe(F.col("__d")), "left").withColumn("__parts", parts)
+    out = docs.join(side, docs[key].eqNullSafe(F.col("__d")) & (F.xxhash64(docs[text]) == F.col("__th")), "left").withColumn("__parts", parts)
     out = out.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size("__parts")).cast("long")).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
     out = out.withColumn("n_removed", F.when(F.col(text).isNull() | (F.col("n_removed") < 0), 0).otherwise(F.col("n_removed")).cast("long"))
     return out.withColumn(text, F.when(F.col("n_removed") > 0, left).otherwise(F.col(text))).select(*docs.columns, "n_lines", "n_removed")

@@ -77,6 +77,16 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_shared_ids(spark):
+    a, b, c, e = ("the first line of this text is a", "another line of some length, b", "one more line of its own, c c c", "the last of these lines is e, so")
+    rows = [(7, f"{a}\n{b}"), (7, f"{c}\n{b}\n{e}"), (None, f"{a} of null\n{c} of null"), (None, f"{e} of null\n{c} of null"), (9, f"{a}\nunlike all the others: 9 9 9")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = collections.Counter(x for r in out for x in r.text.split("\n"))
+    # Of each line one stays, whatever ids its rows have.
+    assert left == collections.Counter({x for _, t in rows for x in t.split("\n")})
+    assert sum(r.n_removed for r in out) == 3 and len(out) == len(rows)
+
+
 def test_license_scan(docs, empty):
     scanner = license_scan.fit(docs)
     found = license_scan.scan_licenses(docs, scanner).collect()
