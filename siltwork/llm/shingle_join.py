@@ -315,11 +315,17 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     text share a component, repeated rows stay. A null key counts as the smallest: its component_id is null, as is
     that of documents linked with it. Other columns of docs are not looked at.
     """
-    spark = docs.sparkSession
-    sets = materialize(shingle_sets(docs, key, text, words, size_levels(percent), percent, []), "shingle-sets")
+    out = _linked_rows(docs, text, key, words, percent, [])
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("least.id")).alias("component_id"))
+
+
+def _linked_rows(docs: DataFrame, text: str, key: str, words: int, percent: int, carry: list[str]) -> DataFrame:
+    """id, the columns carry, n (set size) and least of each row: the smallest (has, id, carry) of its component, null for
+    rows without shingles. With the key, carry tells apart texts under one key."""
+    sets = materialize(shingle_sets(docs, key, text, words, size_levels(percent), percent, carry), "shingle-sets")
 
     # One row for each distinct set.
-    classes = sets.where("n > 0").groupBy("h", "n").agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), F.col("id"))).alias("first"))
+    classes = sets.where("n > 0").groupBy("h", "n").agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), F.col("id"), *carry)).alias("first"))
     keyed = sets.where("n > 0").select("h", F.explode("keys").alias("key"))
     # Nodes of level 2 that hold two sets or more, as fingerprints of what they hold; of those that hold the same, one.
     mark = F.xxhash64("h")
@@ -336,10 +342,13 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     # The tokens of the sets in families, one document for each set.
     sizes = families.groupBy("label").agg(F.count("*").alias("rows"))
     lone = families.join(sizes, "label").join(classes.select(F.col("h").alias("node"), "first", "n"), "node")
-    lone = materialize(lone.select("node", "label", "rows", F.col("first.id").alias("id"), F.col("n").alias("size")), "family-members")
+    lone = materialize(lone.select("node", "label", "rows", F.col("first.id").alias("id"), *[F.col(f"first.{c}").alias(f"of_{c}") for c in carry], F.col("n").alias("size")), "family-members")
     n_members = lone.count()
-    texts = docs.select(F.col(key).alias("__k"), F.col(text).alias("t"))
-    picked = texts.join(small_side(lone, n_members), texts["__k"].eqNullSafe(lone["id"])).select("t", "node", "label", "rows")
+    texts = docs.select(F.col(key).alias("__k"), F.col(text).alias("t"), *carry)
+    same = texts["__k"].eqNullSafe(lone["id"])
+    for c in carry:
+        same = same & texts[c].eqNullSafe(lone[f"of_{c}"])
+    picked = texts.join(small_side(lone, n_members), same).select("t", "node", "label", "rows")
     tokens = shingle_sets(picked, "node", "t", words, None, percent, ["label", "rows"]).where("id = h").select("label", "rows", "h", "n", "bits", "keys")
     links = _group_links(tokens, percent, lone.agg(F.max("rows")).first()[0] or 0, "family-tokens")
     links = materialize(links, "set-links")
@@ -347,8 +356,7 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
 
     least = classes.join(joined.withColumnRenamed("node", "h"), "h").groupBy("label").agg(F.min("first").alias("least"))
     of_set = classes.join(joined.withColumnRenamed("node", "h"), "h", "left").join(least, "label", "left").select("h", "n", F.coalesce("least", "first").alias("least"))
-    out = sets.select("id", "n", "h").join(of_set, ["h", "n"], "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("least.id")).alias("component_id"))
+    return sets.select("id", *carry, "n", "h").join(of_set, ["h", "n"], "left").select("id", *carry, "n", "least")
 
 
 def _large_links(large: DataFrame, percent: int) -> DataFrame:
@@ -374,8 +382,20 @@ def _large_links(large: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that link, directly or over others, to a document of a smaller key; of rows that share the
-    smallest key one stays. Documents without shingles all stay."""
-    found = jaccard_components(docs, text=text, key=key, words=words, percent=percent)
-    gone = materialize(found.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__gone")).distinct(), "near-copies")
-    return docs.join(small_side(gone), docs[key].eqNullSafe(F.col("__gone")), "left_anti")
+    """One row of each component of documents that link, directly or over others: that of the smallest key (null counts
+    as the smallest), of different texts under that key the one of the smallest hash, of rows that share both the one
+    whose columns have the smallest hash. Rows without shingles all stay."""
+    mark = F.xxhash64(text)
+    found = _linked_rows(docs.withColumn("__th", mark), text, key, words, percent, ["__th"]).where("n > 0")
+    found = materialize(found.select(F.col("id").alias("__id"), "__th", F.col("id").eqNullSafe(F.col("least.id")) & (F.col("__th") == F.col("least.__th"))).toDF("__id", "__th", "stays"), "linked-rows")
+    gone = materialize(found.where("not stays").select("__id", "__th").distinct(), "near-copies")
+    again = materialize(found.where("stays").groupBy("__id", "__th").count().where("count > 1").select("__id", "__th"), "repeated-rows")
+
+    def side(rows: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+        return rows.join(small_side(marks), rows[key].eqNullSafe(marks["__id"]) & (mark == marks["__th"]), how)
+
+    kept = side(docs, gone, "left_anti")
+    if again.isEmpty():
+        return kept
+    one = side(docs, again, "left_semi").groupBy(key, mark.alias("__th")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row"))
+    return side(kept, again, "left_anti").unionByName(one.select("__row.*"))

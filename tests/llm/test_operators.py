@@ -125,6 +125,26 @@ def test_shingle_join(docs, empty, n, percent, cap, monkeypatch):
     assert shingle_join.jaccard_components(empty, words=n, percent=percent).count() == 0
 
 
+def test_keep_one(spark):
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randint(0, 10**6)}" for _ in range(60)) for _ in range(8)]
+    close = [t + " more" for t in texts]
+    rows = [(3, texts[0], "a"), (7, close[0], "a"), (7, texts[1], "a")]  # one of two texts under 7 is a near copy of 3
+    rows += [(8, texts[2], "b"), (8, texts[2], "a"), (8, texts[2], "a"), (8, close[2], "a")]  # repeated rows, and near copies under one id
+    rows += [(None, texts[3], "a"), (None, close[3], "a"), (None, texts[3], "a"), (None, texts[4], "a"), (9, close[4], "a")]
+    rows += [(10, "", "a"), (10, "", "a"), (11, None, "a"), (None, " ", "a")]  # without shingles
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for given in (docs, docs.repartition(3)):
+        got = shingle_join.keep_one(given)
+        assert got.columns == docs.columns
+        got = [tuple(x) for x in got.collect()]
+        assert not collections.Counter(got) - collections.Counter(rows)
+        blank = [x for x in got if not (x[1] or "").strip()]
+        assert collections.Counter(blank) == collections.Counter(rows[-4:])
+        full = sorted(((texts + close).index(x[1]) % 8, x[0]) for x in got if x not in blank)
+        assert full == [(0, 3), (1, 7), (2, 8), (3, None), (4, None)]
+
+
 def test_ann_forest(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((600, 16))
