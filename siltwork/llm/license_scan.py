@@ -1,18 +1,25 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line. Features are hashed word 1- and 2-grams; a sparse multinomial logistic regression is trained on
+A notice is a line, or a stretch of words over several lines of one paragraph: lines between blank ones, comment marks
+aside. Hard-wrapped notices are found so: where the lines of a paragraph hold ``ALIKE`` of the word pairs of a template
+within ``ROOM`` times its words, the stretch from the first to the last of those pairs is judged like a line. One that
+a line with a notice of the same family overlaps is that notice already; a line of another family goes if the stretch's
+own templates hold all pairs by which it was found.
+
+Features are hashed word 1- and 2-grams; a sparse multinomial logistic regression is trained on
 seeded variations of the templates for each family and, for the class ``unknown``, on a sample of the corpus's own
 paragraphs of at most ``SAMPLE_PARAGRAPHS`` (a documented bound). The temperature is fitted on variations and
 paragraphs set aside, and a prediction below ``SURE`` is unknown. A predicted family is reported when a template of it
 shares at least ``ALIKE`` of its word pairs with the paragraph.
 
-Only paragraphs with a cue word are classified: a word of a template that is rare in the sample. A paragraph without
-any can't be confirmed, since confirmation asks for one.
+Only lines and stretches with a cue word are classified: a word of a template that is rare in the sample. Lines and
+stretches in which a template is found are left out of the class ``unknown``.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +36,8 @@ SAMPLE_PARAGRAPHS = 4_000
 VARIATIONS = 40
 SURE = 0.6
 ALIKE = 0.5
+#: Words of a stretch, in words of the template.
+ROOM = 2
 UNKNOWN = "unknown"
 
 # Short notices by which well-known licences are announced.
@@ -66,17 +75,119 @@ def pairs(words: list[str]) -> set[tuple[str, ...]]:
     return {*zip(words, words[1:], strict=False)} or {tuple(words)}
 
 
+#: Marks of comments at the start and at the end of a line.
+_MARKS = re.compile(r"^\s*(?:(?:/\*+|\*+/?|//+!?|#+!?|;+|--+|%+|<!--+|>+|\"{3}|'{3}|dnl\b|REM\b|\.\.)(?=\s|$|\w)\s*)*|\s*(?:\*+/?|--+>|#+|//+|\"{3}|'{3})?\s*$")
+
+
+def paragraphs_of(lines: list[str]) -> Iterator[list[tuple[int, str]]]:
+    """Runs of two or more (line number, line without comment marks) between lines of which nothing is left."""
+    run = []
+    for i, line in enumerate(lines):
+        bare = _MARKS.sub("", line)
+        if bare:
+            run.append((i, bare))
+            continue
+        if len(run) > 1:
+            yield run
+        run = []
+    if len(run) > 1:
+        yield run
+
+
+Shapes = dict[str, list[set[tuple[str, ...]]]]
+
+
+def pair_index(shapes: Shapes) -> dict[tuple[str, ...], list[tuple[str, int]]]:
+    """The templates (family, number) that hold a pair of words."""
+    index = defaultdict(list)
+    for f, ts in shapes.items():
+        for k, t in enumerate(ts):
+            for p in t:
+                index[p].append((f, k))
+    return dict(index)
+
+
+def stretches(at: list[int], words: list[str], shapes: Shapes, index: dict[tuple[str, ...], list[tuple[str, int]]]) -> list[tuple[int, int, int]]:
+    """(pairs found, first word, last word) of stretches over two lines or more that hold ALIKE of a template's pairs, most
+    pairs first. at: the line of each word."""
+    hits = defaultdict(list)
+    for i, p in enumerate(zip(words, words[1:], strict=False)):
+        for t in index.get(p, ()):
+            hits[t].append((i, p))
+    out = set()
+    for (f, k), found in hits.items():
+        size = len(shapes[f][k])
+        if len({p for _, p in found}) < ALIKE * size:
+            continue
+        room, left, seen, best = ROOM * (size + 1), 0, Counter(), None
+        for right, (i, p) in enumerate(found):
+            seen[p] += 1
+            while i + 1 - found[left][0] >= room or seen[found[left][1]] > 1:
+                seen[found[left][1]] -= 1
+                if not seen[found[left][1]]:
+                    del seen[found[left][1]]
+                left += 1
+            if len(seen) >= ALIKE * size and (best is None or left > best[2] or len(seen) > best[0]):
+                if best and left > best[2]:  # apart from the best so far: another notice
+                    out.add((best[0], found[best[1]][0], found[best[2]][0] + 1))
+                best = (len(seen), left, right)
+        if best:
+            out.add((best[0], found[best[1]][0], found[best[2]][0] + 1))
+    return sorted((x for x in out if at[x[1]] < at[x[2]]), key=lambda x: (-x[0], x[1:]))
+
+
+def joined(run: list[tuple[int, str]]) -> tuple[list[int], list[str]]:
+    """The words of a paragraph and the line of each."""
+    both = [(i, w) for i, line in run for w in words_of_line(line)]
+    return [i for i, _ in both], [w for _, w in both]
+
+
 @dataclass
 class Scanner:
     families: list[str]
     weights: np.ndarray
     temperature: float
     cues: frozenset[str]
-    templates: dict[str, list[set[tuple[str, ...]]]]
+    templates: Shapes
+
+    def __post_init__(self):
+        self.index = pair_index(self.templates)
 
     def scan(self, line: str) -> tuple[str, float, float] | None:
-        """Family, probability and likeness of a licence notice; None for other paragraphs."""
-        words = words_of_line(line)
+        """Family, probability and likeness of a licence notice; None for other lines."""
+        return self.judge(words_of_line(line))
+
+    def scan_text(self, text: str) -> list[tuple[int, int, tuple[str, float, float]]]:
+        """(first line, last line, what scan gives) of each notice of a text, in order."""
+        lines = text.split("\n")
+        found = [(i, i, hit) for i, line in enumerate(lines) if (hit := self.scan(line))]
+        for run in paragraphs_of(lines):
+            at, words = joined(run)
+            if self.cues.isdisjoint(words):
+                continue
+            taken: list[tuple[int, int]] = []
+            alone = [x for x in found if x[0] == x[1] and run[0][0] <= x[0] <= run[-1][0]]
+            for _, a, b in stretches(at, words, self.templates, self.index):
+                if any(a <= y and x <= b for x, y in taken):
+                    continue
+                if not (hit := self.judge(words[a : b + 1])):
+                    continue
+                taken.append((a, b))
+                inside = [x for x in alone if at[a] <= x[0] <= at[b]]
+                if any(hit[0] == x[2][0] for x in inside):
+                    continue
+                found.append((at[a], at[b], hit))
+                for x in inside:
+                    if self.evidence(lines[x[0]], x[2][0]) <= set().union(*self.templates[hit[0]]):
+                        found.remove(x)
+        return sorted(found, key=lambda x: x[:2])
+
+    def evidence(self, line: str, family: str) -> set[tuple[str, ...]]:
+        """The word pairs of the family's most alike template that a line holds."""
+        own = pairs(words_of_line(line))
+        return max((t & own for t in self.templates[family]), key=len)
+
+    def judge(self, words: list[str]) -> tuple[str, float, float] | None:
         if self.cues.isdisjoint(words):
             return None
         at, x = features(words)
@@ -121,18 +232,35 @@ def train(paragraphs: list[str], *, templates: dict[str, tuple[str, ...]] | None
     return Scanner(families, weights, fit_temperature(logits, np.array([data[i][2] for i in aside])), cues, shapes)
 
 
+def plain_lines(text: str) -> list[tuple[int, str]]:
+    """The lines of a text, not blank, that are in no stretch which holds a template."""
+    shapes = {f: [pairs(words_of_line(t)) for t in ts] for f, ts in TEMPLATES.items()}
+    lines, index, held = text.split("\n"), pair_index(shapes), set()
+    for run in paragraphs_of(lines):
+        at, words = joined(run)
+        for _, a, b in stretches(at, words, shapes, index):
+            held.update(range(at[a], at[b] + 1))
+    return [(i, x) for i, x in enumerate(lines) if x.strip(" ") and i not in held]
+
+
 def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", seed: int = 42, sample: int = SAMPLE_PARAGRAPHS) -> Scanner:
     """A scanner whose class unknown is trained on a bounded sample of the paragraphs of docs, drawn by hash."""
     rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(key, text, F.lit(seed)).alias("u"), F.col(text).alias("t"))
     n = rows.count()
     few = rows.where(F.col("u") / 2.0**64 + 0.5 < F.lit(sample / max(n, 1))).orderBy("u").limit(sample)
-    lines = few.select("u", F.posexplode(F.split("t", "\n")).alias("i", "line")).where(F.trim("line") != "").select("line", F.xxhash64("u", "i").alias("v"))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(u, *x) for u, t in zip(b["u"], b["t"], strict=True) for x in plain_lines(t)], columns=["u", "i", "line"])
+
+    lines = few.mapInPandas(split, "u long, i int, line string").select("line", F.xxhash64("u", "i").alias("v"))
     picked = lines.orderBy("v").limit(sample).select("v", "line")
     return train([r["line"] for r in sorted(picked.collect(), key=lambda r: r["v"])], seed=seed)
 
 
 def scan_licenses(docs: DataFrame, scanner: Scanner, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row for each licence notice: key, line_no (from 0), family, probability, likeness, line.
+    """One row for each licence notice: key, line_no (its first line, from 0), family, probability, likeness, line (all of
+    its lines).
 
     Null and empty texts have none. Repeated rows give repeated notices. Whole texts are read, lines of any length."""
     shared = docs.sparkSession.sparkContext.broadcast(scanner)
@@ -144,9 +272,9 @@ def scan_licenses(docs: DataFrame, scanner: Scanner, *, text: str = "text", key:
             found = []
             for k, t in zip(b["k"], b["t"], strict=True):
                 if t:
-                    for i, line in enumerate(t.split("\n")):
-                        if hit := s.scan(line):
-                            found.append((None if k != k else k, i, *hit, line))
+                    if hits := s.scan_text(t):
+                        lines = t.split("\n")
+                        found += [(None if k != k else k, i, *hit, "\n".join(lines[i : j + 1])) for i, j, hit in hits]
             yield pd.DataFrame(found, columns=["k", "line_no", "family", "probability", "likeness", "line"])
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(work, out)

@@ -97,6 +97,32 @@ def test_license_scan(docs, empty):
     assert license_scan.scan_licenses(empty, license_scan.fit(empty)).count() == 0
 
 
+WRAPPED = {
+    "gpl-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "gpl-2.0": "This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License as\npublished by the Free Software Foundation; either version 2 of\nthe License, or (at your option) any later version.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights",
+    "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either",
+    "bsd": "Redistribution and use in source and binary forms, with or\nwithout modification, are permitted provided that the\nfollowing conditions are met:",
+}
+
+
+def test_license_scan_wrapped(spark, docs):
+    prose = "an alpha line of beta words\nand the gamma of a delta"
+    rows = []
+    for k, text in enumerate(WRAPPED.values()):
+        for j, (start, end, mark, gap) in enumerate([("", "", "", "\n\n"), ("", "", "# ", "\n#\n"), ("", "", "// ", "\n"), ("/*\n", "\n */", " * ", "\n\n")]):
+            rows.append((10 * k + j, prose + gap + start + "\n".join(mark + x for x in text.split("\n")) + end + gap + prose))
+    given = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    families = list(WRAPPED)
+    for scanner in (license_scan.fit(docs), license_scan.fit(given)):
+        found = license_scan.scan_licenses(given, scanner).collect()
+        assert collections.Counter((r.doc_id, r.family) for r in found) == collections.Counter((k, families[k // 10]) for k, _ in rows)
+        texts = dict(rows)
+        assert all(r.line in texts[r.doc_id] and texts[r.doc_id].split("\n")[r.line_no] == r.line.split("\n")[0] for r in found)
+    two = WRAPPED["mit"] + "\n" + prose + "\n" + WRAPPED["mit"]
+    assert [x[2][0] for x in scanner.scan_text(two)] == ["mit", "mit"]
+
+
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
 @pytest.mark.parametrize("cap", [8192, 8])
 def test_shingle_join(docs, empty, n, percent, cap, monkeypatch):
