@@ -16,9 +16,10 @@ def stream_parquet(spark: SparkSession, path: str, files_a_batch: int = 1000) ->
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch).parquet(found)
 
 
-def event_time(rows: DataFrame, ts: str, late: str) -> DataFrame:
-    """Rows with a time, as event time with a watermark."""
-    return rows.where(F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+def event_time(rows: DataFrame, ts: str, late: str | None) -> DataFrame:
+    """Rows with a time, as event time with a watermark; without one where late is None: then no row is ever too late."""
+    timed = rows.where(F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp"))
+    return timed if late is None else timed.withWatermark(ts, late)
 
 
 def windowed(rows: DataFrame, ts: str, length: str, keys: list[str], aggregates: list[Column], slide: str | None = None) -> DataFrame:

@@ -108,3 +108,30 @@ def test_resume_does_only_the_rest(spark, tmp_path):
 def test_keys_tell_null_from_empty(spark, parts):
     key = spark.range(1).select(S.call_key(*[F.lit(p).cast("string") for p in parts]).alias("k")).first().k
     assert len(key) == 24 and (key == spark.range(1).select(S.call_key(F.lit("a"), F.lit("")).alias("k")).first().k) == (parts[1] == "")
+
+
+def test_hourly_counts_rows_of_any_batch(spark, tmp_path, monkeypatch):
+    """Files in batches of one, the latest times first: rows far behind those seen still count."""
+    import datetime
+    import functools
+    import os
+
+    from siltwork.plans import files
+
+    start = datetime.datetime(2024, 3, 1)
+    rows = [(start + datetime.timedelta(days=d, minutes=20 * k), "ab"[k % 2], float(k)) for d in (20, 9, 0, 15, 9) for k in range(7)]
+    known = set()
+    for i in range(5):
+        part = spark.createDataFrame(rows[7 * i : 7 * i + 7], "ts timestamp_ntz, event_type string, value double").coalesce(1)
+        part.write.mode("append").parquet(f"{tmp_path}/events.parquet")
+        new = set(os.listdir(f"{tmp_path}/events.parquet")) - known
+        known |= new
+        for name in new:  # a stream takes older files first
+            os.utime(f"{tmp_path}/events.parquet/{name}", (1_700_000_000 + i, 1_700_000_000 + i))
+    monkeypatch.setattr(files.J, "stream_parquet", functools.partial(J.stream_parquet, files_a_batch=1))
+    got = {(r.event_type, r.start): (r.n, r.total) for r in files.stream_hourly(spark, str(tmp_path)).collect()}
+    want = {}
+    for ts, kind, value in rows:
+        n, total = want.get((kind, ts.replace(minute=0)), (0, 0.0))
+        want[kind, ts.replace(minute=0)] = (n + 1, total + value)
+    assert got == want
