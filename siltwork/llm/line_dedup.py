@@ -1,7 +1,8 @@
 """Line dedup over a deletion neighbourhood, in DataFrame operations only.
 
 A line is what stands between two newlines, without blanks, tabs and carriage returns at its ends. Lines of
-fewer than ``min_chars`` characters are never touched. A line goes if an equal line, or one at edit distance 1,
+fewer than ``exact_chars`` characters, by default ``min_chars``, are never touched; those from there up to ``min_chars``
+go only for an equal line. A line goes if an equal line, or one at edit distance 1,
 stands earlier in the order (doc_id, hash of the text, line number). Nothing else about a document changes. A document
 is an id with a text: different texts under one id, or without an id, are different documents.
 
@@ -45,12 +46,12 @@ def _stretch_keys(line: Column, n: Column) -> Column:
     return F.array(*out)
 
 
-def line_verdicts(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_chars: int = 16) -> DataFrame:
+def line_verdicts(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_chars: int = 16, exact_chars: int | None = None) -> DataFrame:
     """One row (d, th: hash of the text, gone: array of line numbers to drop) for each document that loses lines."""
     spark = docs.sparkSession
     docs = docs.select(key, text)
-    base = _lines(docs, text, key).withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
-    lines = materialize(base.select("d", "th", "no", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "n", _stretch_keys(F.col("line"), F.col("n")).alias("keys")), "lines")
+    base = _lines(docs, text, key).withColumn("n", F.length("line")).where(F.col("n") >= max(1, min_chars if exact_chars is None else min(exact_chars, min_chars)))
+    lines = materialize(base.select("d", "th", "no", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "n", F.when(F.col("n") >= min_chars, _stretch_keys(F.col("line"), F.col("n"))).alias("keys")), "lines")
 
     first = lines.groupBy("h", "g").agg(F.min(F.struct("d", "th", "no")).alias("first"))
     keyed = lines.select("h", "g", "n", F.posexplode("keys").alias("slot", "key"))
@@ -89,7 +90,7 @@ def line_verdicts(docs: DataFrame, *, text: str = "text", key: str = "doc_id", m
     return lines.select("d", "th", "no", "h", "g").join(decided, ["h", "g"]).where(F.col("near").isNotNull() | ~F.struct("d", "th", "no").eqNullSafe(F.col("first"))).groupBy("d", "th").agg(F.collect_set("no").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_chars: int = 16) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_chars: int = 16, exact_chars: int | None = None) -> DataFrame:
     """docs with each text freed of lines that occur earlier; adds n_lines and n_removed.
 
     Null text stays null with no lines; an empty text has one empty line and stays. Rows that share key and text are
@@ -99,7 +100,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min
     """
     extra = [c for c in docs.columns if c in ("n_lines", "n_removed")]
     docs = docs.drop(*extra)
-    gone = materialize(line_verdicts(docs, text=text, key=key, min_chars=min_chars).withColumnsRenamed({"d": "__d", "th": "__th", "gone": "__gone"}), "gone-lines")
+    gone = materialize(line_verdicts(docs, text=text, key=key, min_chars=min_chars, exact_chars=exact_chars).withColumnsRenamed({"d": "__d", "th": "__th", "gone": "__gone"}), "gone-lines")
     rows = gone.agg(F.count("*"), F.sum(F.size("__gone"))).first()
     side = F.broadcast(gone) if (rows[0] or 0) + (rows[1] or 0) <= 4_000_000 else gone
     parts = F.split(F.col(text), "\n")

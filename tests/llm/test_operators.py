@@ -87,6 +87,16 @@ def test_line_dedup_shared_ids(spark):
     assert sum(r.n_removed for r in out) == 3 and len(out) == len(rows)
 
 
+def test_line_dedup_short_lines(spark):
+    import corpus_pipeline
+
+    rows = [(1, "Read more\n\nfirst line of this document\nx", "en", "a"), (2, "Read more \n\nRead mora\nsecond document has a line", "en", "a"), (3, "x", "en", "a"), (4, "Log in\n\nLog in\nmy own words here, a third", "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_repeated_lines(spark, docs, "").collect()}
+    # Equal short lines go, those that only resemble one stay, and so do empty lines.
+    assert got == {1: rows[0][1], 2: "\nRead mora\nsecond document has a line", 4: "Log in\n\nmy own words here, a third"}
+
+
 def test_license_scan(docs, empty):
     scanner = license_scan.fit(docs)
     found = license_scan.scan_licenses(docs, scanner).collect()
