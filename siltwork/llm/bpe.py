@@ -1,7 +1,7 @@
 """BPE encoding and decoding over a pair occurrence index.
 
-The distinct words of a chunk of a partition stand in one array of symbols. An index maps each merge rank to all the
-positions of its pair. The smallest active rank is applied at all its positions at once, left to right where they
+The distinct words of a partition, as they are first met in its chunks, stand in one array of symbols a chunk. An index
+maps each merge rank to all the positions of its pair. The smallest active rank is applied at all its positions at once, left to right where they
 overlap; the pairs that this makes and unmakes move between the lists of their ranks, and the next smallest active
 rank follows. A merge may activate a smaller rank than its own, so ranks wait in a heap. This gives each word the
 merges that it would get alone: the smallest rank first, the leftmost of equals.
@@ -17,8 +17,9 @@ import heapq
 import json
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of text that one pair index covers; a longer text is a chunk of its own.
-CHUNK_CHARS = 24_000_000
-OUT_CHARS = 2_000_000
+from .common import give_back
+
+#: Characters of text in memory at once; a longer text is a chunk of its own.
+CHUNK_CHARS = 3_000_000
+OUT_CHARS = 1_000_000
+#: Words whose ids are kept from chunk to chunk of a partition; beyond it all are forgotten.
+KNOWN_WORDS = 120_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -49,14 +54,16 @@ def _young(pattern: str) -> tuple[dict[int, str], dict[int, str]]:
 
     split = Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
     ours = regex.compile(pattern).findall
-    young = [c for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if unicodedata.category(c) == "Cn"]
-    out = {}
-    for c in regex.findall(r"[\p{L}\p{N}]", "".join(young)):
-        joined, twice = (["".join(x[0]) for x in split(t)] for t in ("a" + c, c + c))
-        if (joined, twice) != (ours("a" + c), ours(c + c)):
-            out[ord(c)] = "a" if len(joined) == 1 else "0" if len(twice) == 2 else "#"
     small = Lowercase().normalize_str
-    return out, {ord(c): small(c) for c in young if small(c) != c.lower()}
+    out, lower = {}, {}
+    for plane in range(0, 0x110000, 0x1000):
+        young = "".join(c for c in map(chr, range(plane, plane + 0x1000)) if unicodedata.category(c) == "Cn")
+        lower |= {ord(c): small(c) for c in young if small(c) != c.lower()}
+        for c in regex.findall(r"[\p{L}\p{N}]", young):
+            joined, twice = (["".join(x[0]) for x in split(t)] for t in ("a" + c, c + c))
+            if (joined, twice) != (ours("a" + c), ours(c + c)):
+                out[ord(c)] = "a" if len(joined) == 1 else "0" if len(twice) == 2 else "#"
+    return out, lower
 
 
 class PairIndexBPE:
@@ -97,7 +104,7 @@ class PairIndexBPE:
 
     def pretokens(self, text: str) -> list[str]:
         """Words of a text, and its added tokens as they are, after a NUL that no word can start with."""
-        if self.split_added is None or "<|" not in text:
+        if self.split_added is None or not any(x in text for x in self.added):
             return self.words(text)
         out: list[str] = []
         for i, part in enumerate(self.split_added.split(text)):
@@ -187,32 +194,48 @@ class PairIndexBPE:
         counts = np.add.reduceat(alive.astype(np.int64), ends - lengths)
         return sym[alive].astype(np.uint32), np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(counts)])
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text, from one index over the distinct words of all."""
-        number: defaultdict[str, int] = defaultdict()
-        number.default_factory = number.__len__
-        places = [np.fromiter(map(number.__getitem__, self.pretokens(t or "")), dtype=np.int64) for t in texts]
-        words = list(number)
+    def encode(self, texts: Iterable[str | None], known: Known | None = None) -> Iterator[np.ndarray]:
+        """Ids of each text, from one index over the distinct words of all that known hasn't met."""
+        known = known or Known()
+        if len(known.number) > KNOWN_WORDS:
+            known.forget()
+        number, met = known.number, len(known.number)
+        places = [np.fromiter(map(number.__getitem__, self.pretokens(t or "")), dtype=np.int32) for t in texts]
+        words = list(islice(number, met, None))
         special = np.array([self.added[w[1:]] if w[0] == "\0" and w[1:] in self.added else -1 for w in words], dtype=np.int64)
         plain = [w for w, s in zip(words, special.tolist(), strict=True) if s < 0]
         flat, edges = self.encode_words(plain)
         begins, sizes = np.empty(len(words), dtype=np.int64), np.empty(len(words), dtype=np.int64)
         begins[special < 0], sizes[special < 0] = edges[:-1], np.diff(edges)
         begins[special >= 0], sizes[special >= 0] = len(flat) + np.arange((special >= 0).sum()), 1
-        flat = np.concatenate([flat, special[special >= 0].astype(np.uint32)])
-        out = []
+        known.add(np.concatenate([flat, special[special >= 0].astype(np.uint32)]), begins, sizes)
         for at in places:
-            size = sizes[at]
+            size = known.sizes[at]
             upto = np.cumsum(size)
-            out.append(flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(begins[at] - upto + size, size)])
-        return out
+            yield known.flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(known.begins[at] - upto + size, size)]
 
     def decode(self, ids: np.ndarray) -> str:
         """The pieces of ids with a blank between, as the library gives for a file without a decoder."""
         return " ".join(map(self.pieces.__getitem__, ids.tolist()))
 
 
-@lru_cache(maxsize=4)
+class Known:
+    """Words with numbers, and the ids of each: flat[begins:begins + sizes]."""
+
+    def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.flat, self.begins, self.sizes = np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+
+    def add(self, flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> None:
+        self.begins, self.sizes = np.append(self.begins, begins + len(self.flat)), np.append(self.sizes, sizes)
+        self.flat = np.append(self.flat, flat)
+
+
+@lru_cache(maxsize=1)
 def from_text(spec: str) -> PairIndexBPE:
     return PairIndexBPE(json.loads(spec))
 
@@ -229,43 +252,38 @@ def encode_decode(docs: DataFrame, vocabulary: str, *, text: str = "text", keep:
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).alias("t"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = from_text(shared.value)
-        held, chars = [], 0
+        bpe, known = from_text(shared.value), Known()
         for batch in batches:
             start = 0
             sizes = pa.compute.fill_null(pa.compute.binary_length(batch["t"]), 0).to_numpy(zero_copy_only=False)
             upto = np.cumsum(sizes)
             while start < batch.num_rows:
                 # Rows until the chunk is full, one at least.
-                room = CHUNK_CHARS - chars + (upto[start - 1] if start else 0)
-                stop = max(start + 1, int(np.searchsorted(upto, room, side="right")))
-                held.append(batch.slice(start, stop - start))
-                chars += int(upto[stop - 1] - (upto[start - 1] if start else 0))
+                stop = max(start + 1, int(np.searchsorted(upto, CHUNK_CHARS + (upto[start - 1] if start else 0), side="right")))
+                yield from done(bpe, known, batch.slice(start, stop - start))
                 start = stop
-                if chars >= CHUNK_CHARS or start < batch.num_rows:
-                    yield from done(bpe, held)
-                    held, chars = [], 0
-        yield from done(bpe, held)
-
-    def done(bpe: PairIndexBPE, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        rows = pa.Table.from_batches(held).combine_chunks()
-        ids = bpe.encode(rows["t"].to_pylist())
-        start = 0
-        while start < len(ids):
-            stop, out = start, 0
-            while stop < len(ids) and (out < OUT_CHARS or stop == start):
-                out += 8 * len(ids[stop])
-                stop += 1
-            mine = ids[start:stop]
-            part = rows.slice(start, stop - start)
-            cols = {n: part[n].combine_chunks() for n in names}
-            cols["token_ids"] = pa.array([x.astype("<u4").tobytes() for x in mine], pa.binary())
-            cols["n_tokens"] = pa.array([len(x) for x in mine], pa.int64())
-            cols["decoded"] = pa.array([bpe.decode(x) for x in mine], pa.string())
-            yield pa.RecordBatch.from_pydict(cols)
-            start = stop
+        del known
+        give_back()
+
+    def done(bpe: PairIndexBPE, known: Known, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = (x.as_py() for x in rows["t"])
+        start, held, out = 0, [], 0
+
+        def batch() -> pa.RecordBatch:
+            cols = {n: rows[n].slice(start, len(held)) for n in names}
+            cols["token_ids"] = pa.array([x.astype("<u4").tobytes() for x in held], pa.binary())
+            cols["n_tokens"] = pa.array([len(x) for x in held], pa.int64())
+            cols["decoded"] = pa.array([bpe.decode(x) for x in held], pa.string())
+            return pa.RecordBatch.from_pydict(cols)
+
+        for ids in bpe.encode(texts, known):
+            held.append(ids)
+            out += 8 * len(ids)
+            if out >= OUT_CHARS:
+                yield batch()
+                start, held, out = start + len(held), [], 0
+        if held:
+            yield batch()
 
     kinds = "".join(f"{n} {rows.schema[n].dataType.simpleString()}, " for n in names)
     out = rows.mapInArrow(work, kinds + "token_ids binary, n_tokens long, decoded string")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
     own = spark.sparkContext.getCheckpointDir()
     if own:
         return own.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="siltwork-")
     spark.sparkContext.setCheckpointDir(made)
@@ -43,14 +47,49 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, outlives lost executors."""
+def drop_on_exit(spark: SparkSession, path: str) -> None:
+    """Have Hadoop's file system delete an existing path when the driver ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+def materialize(df: DataFrame, name: str, into: Scratch | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, outlives lost executors. The files go when
+    the driver ends, or when the scratch that they are entered into is cleared."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    drop_on_exit(spark, path)
+    if into is not None:
+        into.paths.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that an operator is done with once its result has been written."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name, self)
+
+    def clear(self) -> None:
+        for spark, path in self.paths:
+            drop_path(spark, path)
+        self.paths.clear()
+
+
+def give_back() -> None:
+    """Return what a finished task no longer needs to the system: Python workers outlive their tasks, and what they hold
+    would be taken from the stages that follow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has been counted to at most limit rows; as it is otherwise."""
     rows = df.count() if rows is None else rows

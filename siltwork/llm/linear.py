@@ -12,14 +12,17 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def ftrl(data: list[tuple[np.ndarray, np.ndarray, int]], features: int, classes: int, *, epochs: int, alpha: float, beta: float = 1.0, l1: float, l2: float, seed: int) -> np.ndarray:
     """Weights (features + 1 by classes, the last row is the bias) from (cells, values, class) rows, one row at a time
-    in a seeded order."""
-    w = np.zeros((features + 1, classes))
+    in a seeded order. Inside, cells that no row has take no room."""
+    used = np.unique(np.concatenate([np.array([features]), *(x[0] for x in data)])).astype(np.int64)
+    data = [(np.searchsorted(used, at), x, y) for at, x, y in data]
+    bias = len(used) - 1
+    w = np.zeros((len(used), classes))
     z, n = np.zeros_like(w), np.zeros_like(w)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(data)):
             at, x, y = data[i]
-            at, x = np.append(at, features), np.append(x, 1.0)
+            at, x = np.append(at, bias), np.append(x, 1.0)
             p = softmax(x @ w[at])
             p[y] -= 1
             g = x[:, None] * p
@@ -27,7 +30,9 @@ def ftrl(data: list[tuple[np.ndarray, np.ndarray, int]], features: int, classes:
             z[at] += g - (np.sqrt(grown) - np.sqrt(n[at])) / alpha * w[at]
             n[at] = grown
             w[at] = np.where(np.abs(z[at]) <= l1, 0.0, -(z[at] - np.sign(z[at]) * l1) / ((beta + np.sqrt(grown)) / alpha + l2))
-    return w
+    out = np.zeros((features + 1, classes))
+    out[used] = w
+    return out
 
 
 def fit_temperature(logits: np.ndarray, truth: np.ndarray) -> float:

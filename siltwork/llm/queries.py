@@ -91,12 +91,13 @@ ORACLE_SQL: dict[str, str] = {
         WITH parts AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
         lines AS (SELECT doc_id, i - 1 AS line_no, p[i] AS raw, trim(p[i], ' ' || chr(9) || chr(13)) AS line
                   FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM parts)),
-        firsts AS (SELECT line, min({'d': doc_id, 'n': line_no}) AS pos FROM lines WHERE length(line) >= 16 GROUP BY line),
+        firsts AS (SELECT line, min({'d': doc_id, 'n': line_no}) AS pos FROM lines WHERE line <> '' GROUP BY line),
+        long_lines AS (SELECT * FROM firsts WHERE length(line) >= 16),
         -- Within one edit, the first half or the second half stays as it is.
         halves AS (
-            SELECT line, pos, 0 AS side, t, substring(line, 1, t // 2) AS half FROM (SELECT line, pos, unnest([length(line), length(line) - 1]) AS t FROM firsts)
+            SELECT line, pos, 0 AS side, t, substring(line, 1, t // 2) AS half FROM (SELECT line, pos, unnest([length(line), length(line) - 1]) AS t FROM long_lines)
             UNION ALL
-            SELECT line, pos, 1, t, substring(line, length(line) - (t - t // 2) + 1) FROM (SELECT line, pos, unnest([length(line), length(line) - 1]) AS t FROM firsts)),
+            SELECT line, pos, 1, t, substring(line, length(line) - (t - t // 2) + 1) FROM (SELECT line, pos, unnest([length(line), length(line) - 1]) AS t FROM long_lines)),
         near AS (SELECT DISTINCT a.line FROM halves a JOIN halves b ON a.side = b.side AND a.t = b.t AND a.half = b.half
                  WHERE b.pos < a.pos AND levenshtein(a.line, b.line) <= 1),
         judged AS (SELECT l.doc_id, l.line_no, l.raw,

@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side
+from .common import give_back, materialize, small_side
 
 SPREAD = 1.5
 FAN_OUT = 64
 #: Tokens below which a region says little.
 WEAK = 2
 GROUP_ROWS = 8_192
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_500_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -55,7 +55,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct shingle hashes of texts; words are remembered as long as there are not too many."""
 
-    def __init__(self, words: int, memory: int = 500_000):
+    def __init__(self, words: int, memory: int = 60_000):
         import xxhash
 
         self.hash, self.words, self.memory, self.known = xxhash.xxh64_intdigest, words, memory, {}
@@ -225,7 +225,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int, levels: list[
                         own = []
                         n = len(s)
                         if n and h not in met:
-                            if len(met) > 500_000:
+                            if len(met) > 100_000:
                                 met.clear()
                             met.add(h)
                             level = int(np.searchsorted(uppers, n))
@@ -240,6 +240,8 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int, levels: list[
                 out["keys"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held) if held else np.empty(0, dtype=np.int64)))
                 yield pa.RecordBatch.from_pydict({c: batch[c].slice(start, at - start) for c in ["id", *keep]} | out)
                 start = at
+        del shingler, met
+        give_back()
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(F.col(key).alias("id"), F.col(text).alias("t"), *carry).mapInArrow(work, f"id {docs.schema[key].dataType.simpleString()}" + (f", {kinds}" if kinds else "") + ", n long, h long, bits binary, keys array<long>")
@@ -294,6 +296,8 @@ def _tree_links(rows: DataFrame, percent: int, by: list[str]) -> DataFrame:
             found = []
         done()
         yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+        held, found = [], []
+        give_back()
 
     return rows.repartition(*by).sortWithinPartitions(*by, "h").select(*cols).mapInPandas(work, "a long, b long")
 

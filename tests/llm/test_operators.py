@@ -64,9 +64,9 @@ def test_line_dedup(docs, empty):
     lines = sorted(((-1 if d is None else d, i), x.strip(" \t\r")) for d, t, *_ in {r[:2]: r for r in ROWS}.values() for i, x in enumerate((t or "").split("\n")))
     gone, seen = set(), []
     for at, x in lines:
-        if len(x) >= 16:
-            if any(near(x, y) for y in seen):
-                gone.add(at)
+        if x and any(x == y or len(x) >= 16 <= len(y) and near(x, y) for y in seen):
+            gone.add(at)
+        if x:
             seen.append(x)
     want = collections.Counter((d, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (-1 if d is None else d, i) not in gone)) for d, t, *_ in ROWS)
     out = line_dedup.dedup_lines(docs)
