@@ -67,6 +67,7 @@ def _variants(mid: Column, m: Column, role: Column) -> Column:
         F.sequence(F.lit(0), last),
         lambda b: F.struct(
             b.alias("b"),
+            (b * size).alias("at"),
             F.xxhash64(F.substring(mid, F.lit(1), b * size)).alias("head"),
             F.substring(mid, b * size + 1, width(b)).alias("own"),
             width(b).alias("n"),
@@ -75,8 +76,7 @@ def _variants(mid: Column, m: Column, role: Column) -> Column:
     )
 
     def one(x: Column) -> Column:
-        at = x["b"] * size
-        cut = F.transform(F.sequence(F.lit(1), x["n"]), lambda i: F.struct(F.when(role == 0, at + i).otherwise(0).cast("int").alias("p"), x["b"].alias("b"), F.xxhash64(x["head"], F.concat(F.substring(x["own"], F.lit(1), i - 1), F.substring(x["own"], i + 1, x["n"])), x["tail"]).alias("v"), F.lit(False).alias("whole")))
+        cut = F.transform(F.sequence(F.lit(1), x["n"]), lambda i: F.struct(F.when(role == 0, x["at"] + i).otherwise(0).cast("int").alias("p"), x["b"].alias("b"), F.xxhash64(x["head"], F.concat(F.substring(x["own"], F.lit(1), i - 1), F.substring(x["own"], i + 1, x["n"])), x["tail"]).alias("v"), F.lit(False).alias("whole")))
         whole = F.array(F.struct(F.lit(0).alias("p"), x["b"].alias("b"), F.xxhash64(x["head"], x["own"], x["tail"]).alias("v"), F.lit(True).alias("whole")))
         none = F.array().cast(f"array<{_VARIANT}>")
         return F.concat(F.when(x["n"] < 1, none).otherwise(cut), F.when(role == 0, whole).otherwise(none))
@@ -84,6 +84,22 @@ def _variants(mid: Column, m: Column, role: Column) -> Column:
     return F.flatten(F.transform(pieces, one))
 
 
+def _within_one(a: Column, b: Column) -> tuple[Column, Column]:
+    """The length of the common start of two texts (of __na and __nb characters), and, with that as __same, whether their edit
+    distance is 1 at most, in time proportional to their length (but for a logarithm): what
+    follows the first difference must agree, on one side or on both without a character."""
+    widths = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+
+    def grown(upto: Column, w: Column) -> Column:
+        fits = (w <= F.least(F.col("__na"), F.col("__nb")) - upto) & (F.substring(a, upto + 1, w) == F.substring(b, upto + 1, w))
+        return F.when(fits, upto + w).otherwise(upto)
+
+    rest = lambda x, skip: F.substring(x, F.col("__same") + 1 + skip, F.lit(2**31 - 1))
+    same = F.aggregate(widths, F.lit(0), grown)
+    verdict = F.when(F.col("__na") == F.col("__nb"), rest(a, 1) == rest(b, 1)).when(F.col("__na") > F.col("__nb"), rest(a, 1) == rest(b, 0)).otherwise(rest(a, 0) == rest(b, 1))
+    return same, F.when(F.abs(F.col("__na") - F.col("__nb")) <= 1, verdict).otherwise(False)
+
+
 def line_verdicts(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_chars: int = 16, exact_chars: int = 1) -> DataFrame:
     """One row (d, th: hash of the text, gone: array of line numbers to drop) for each document that loses lines."""
     docs, made = docs.select(key, text), Scratch()
@@ -120,7 +136,9 @@ def line_verdicts(docs: DataFrame, *, text: str = "text", key: str = "doc_id", m
     partner = F.when(F.col("p") > 0, F.col("lo")).when(F.col("whole"), F.col("cut")).otherwise(F.col("line"))
     pairs = variants.join(met, ["key", "p", "b", "v"]).select("h", "g", "at", partner.alias("by")).where((F.col("by.at") < F.col("at"))).select("h", "g", F.col("by.h").alias("bh"), F.col("by.g").alias("bg")).distinct()
     other = texts.select(F.col("h").alias("bh"), F.col("g").alias("bg"), F.col("line").alias("earlier"))
-    verified = pairs.join(texts.select("h", "g", "line"), ["h", "g"]).join(other, ["bh", "bg"]).where(F.levenshtein("line", "earlier", 1) >= 0)  # -1 beyond the threshold
+    both = pairs.join(texts.select("h", "g", "line"), ["h", "g"]).join(other, ["bh", "bg"])
+    same, within = _within_one(F.col("line"), F.col("earlier"))
+    verified = both.withColumn("__na", F.length("line")).withColumn("__nb", F.length("earlier")).withColumn("__same", same).where(within)
     near = made(verified.select("h", "g").distinct(), "near-lines").withColumn("near", F.lit(True))
 
     # Lines that stand once and are near to none stay; of the others, the frequent ones are few.
