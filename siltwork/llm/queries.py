@@ -65,7 +65,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"))
+    shards = F.array_join(F.transform("copies", lambda x: x["shard"].cast("string")), ",")
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"), shards.alias("shards"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +87,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _ESCAPED = "replace(replace({}, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')"
 
+
+def _mixing_sql(levels: int = mixing.SHARD_LEVELS) -> str:
+    """The mix with its tree: at each node, source after source draws from the hypergeometric law."""
+    choose = "(lgamma({0} + 1.0::DOUBLE) - lgamma({1} + 1.0::DOUBLE) - lgamma({0} - ({1}) + 1.0::DOUBLE))"
+    p = f"exp({choose.format('q', 'k')} + {choose.format('(pop - q)', '(draws - k)')} - {choose.format('pop', 'draws')})"
+    draw = f"CASE WHEN pop = 0 THEN 0 ELSE low + len(list_filter([list_sum([{p} FOR k IN range(low, j + 1)]) FOR j IN range(low, high)], lambda c: c < u)) END::BIGINT"
+    tree = "".join(
+        f""",
+        drawn{i} AS MATERIALIZED (SELECT *, (('0x' || left(md5('split-42-{i}|' || node::VARCHAR || '|' || coalesce(s, chr(0))), 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM nodes{i}),
+        walk{i}(node, number, pop, draws, x) AS (
+            SELECT node, 0::BIGINT, sum(q)::BIGINT, ((sum(q) + 1) // 2)::BIGINT, 0::BIGINT FROM nodes{i} GROUP BY node
+            UNION ALL
+            SELECT node, number, pop - q, draws - x, x FROM (SELECT *, {draw} AS x FROM (
+                SELECT w.node, d.number, w.pop, w.draws, d.q, d.u, greatest(0, w.draws - (w.pop - d.q)) AS low, least(d.q, w.draws) AS high FROM walk{i} w JOIN drawn{i} d ON d.node = w.node AND d.number = w.number + 1))),
+        nodes{i + 1} AS MATERIALIZED (SELECT n.node * 2 + r AS node, n.number, n.s, CASE WHEN r = 0 THEN w.x ELSE n.q - w.x END AS q FROM nodes{i} n JOIN walk{i} w USING (node, number), (SELECT unnest([0, 1]) AS r))"""
+        for i in range(levels)
+    )
+    return f"""
+        WITH RECURSIVE sized AS (SELECT doc_id AS k, source AS s, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size, coalesce(md5(text), '') AS digest FROM documents),
+        totals AS (SELECT s, count(*) AS n, sum(size)::BIGINT AS source_size FROM sized GROUP BY s),
+        numbered AS (SELECT *, row_number() OVER (ORDER BY s IS NULL, s) AS number FROM totals),
+        weighted AS (SELECT *, [1, 2, 3][((number - 1) % 3 + 1)::INT] AS w FROM numbered),
+        reaching AS (SELECT *, source_size::DOUBLE / w AS reach FROM weighted),
+        levels AS (SELECT *, ((sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER o, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER o, 0))::DOUBLE) AS level
+                   FROM reaching WINDOW o AS (ORDER BY reach, s IS NULL, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        final AS (SELECT level FROM levels WHERE level <= 3 * reach ORDER BY reach, s IS NULL, s LIMIT 1),
+        aims AS (SELECT s, number, n, source_size, CASE WHEN source_size = 0 THEN 0.0 ELSE least(w * (SELECT level FROM final), (3 * source_size)::DOUBLE) END AS target FROM levels),
+        targets AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::INT ELSE 0 END AS whole FROM aims),
+        rows AS (SELECT z.k, z.s, z.size, t.source_size, t.target, t.whole, CASE WHEN t.source_size > 0 THEN t.target - t.whole * t.source_size ELSE 0 END AS rest,
+                        md5('row-42|' || coalesce(z.s, chr(0)) || '|' || coalesce(z.k::VARCHAR, chr(0)) || '|' || z.digest) AS o, t.n, t.number FROM sized z JOIN targets t ON z.s IS NOT DISTINCT FROM t.s),
+        dealt AS (SELECT *, ('0x' || left(o, 8))::BIGINT % ceil(n / 1024)::BIGINT AS block FROM rows),
+        alike AS (SELECT s, k, size, o, block, source_size, target, whole, rest, number, count(*) AS m FROM dealt GROUP BY ALL),
+        per_block AS (SELECT s, number, block, whole, rest, sum(size * m)::BIGINT AS words FROM alike GROUP BY ALL),
+        placed AS MATERIALIZED (SELECT *, row_number() OVER o - 1 AS place, count(*) OVER (PARTITION BY s) AS of_source, coalesce(sum(words) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+                   FROM per_block WINDOW o AS (PARTITION BY s ORDER BY md5('block-42|' || coalesce(s, chr(0)) || '|' || block::VARCHAR), block)),
+        nodes0 AS MATERIALIZED (SELECT 0 AS node, number, s, (sum(whole) + count(*) FILTER (WHERE rest > 0 AND before < rest))::BIGINT AS q FROM placed GROUP BY number, s){tree},
+        leaves AS MATERIALIZED (SELECT number, list(upto ORDER BY node) AS upto FROM (SELECT number, node, sum(q) OVER (PARTITION BY number ORDER BY node)::BIGINT AS upto FROM nodes{levels}) GROUP BY number),
+        known AS (SELECT p.*, list_transform(list_filter([(i - 1) * of_source + place FOR i IN range(1, whole + 2)], lambda x: x < upto[-1]), lambda x: len(list_filter(upto, lambda c: c <= x))) AS shards FROM placed p JOIN leaves USING (number)),
+        started AS (SELECT a.*, p.shards, len(p.shards) > a.whole AS more, p.before + coalesce(sum(a.size * a.m) OVER (PARTITION BY a.number, a.block ORDER BY a.o, a.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM alike a JOIN known p USING (number, block)),
+        parted AS (SELECT *, CASE WHEN more AND start < rest THEN CASE WHEN size > 0 THEN least(floor((rest - start) / size), m) ELSE m END ELSE 0 END::BIGINT AS part FROM started),
+        cut AS (SELECT *, max(CASE WHEN more AND start < rest AND part < m THEN rest - start - part * size END) OVER (PARTITION BY number, block) AS left_over FROM parted),
+        filled AS (SELECT *, coalesce(part < m AND size <= left_over AND size > 0, false) AS fills FROM cut),
+        best AS (SELECT *, part + CASE WHEN fills AND row_number() OVER (PARTITION BY number, block ORDER BY fills DESC, size DESC, o) = 1 THEN 1 ELSE 0 END AS parts FROM filled),
+        times AS (SELECT *, (whole + CASE WHEN i <= parts THEN 1 ELSE 0 END)::BIGINT AS times FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM best))
+        SELECT k AS doc_id, size, source_size, target, (size * times)::BIGINT AS taken, array_to_string(shards[1:times], ',') AS shards FROM times"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": r"""
         WITH parts AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
@@ -117,30 +165,8 @@ ORACLE_SQL: dict[str, str] = {
         both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
         reach(d, c) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.d, b.y FROM reach r JOIN both_ways b ON b.x = r.c)
         SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.c) AS component_id FROM sets s JOIN reach r ON r.d = s.doc_id GROUP BY s.doc_id, len(s.s)""",
-    "op8_mixing": r"""
-        WITH sized AS (SELECT doc_id AS k, source AS s, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
-        totals AS (SELECT s, count(*) AS n, sum(size)::BIGINT AS source_size FROM sized GROUP BY s),
-        numbered AS (SELECT *, [1, 2, 3][((row_number() OVER (ORDER BY s IS NULL, s) - 1) % 3 + 1)::INT] AS w FROM totals),
-        reaching AS (SELECT *, source_size::DOUBLE / w AS reach FROM numbered),
-        levels AS (SELECT *, ((sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER o, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER o, 0))::DOUBLE) AS level
-                   FROM reaching WINDOW o AS (ORDER BY reach, s IS NULL, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        final AS (SELECT level FROM levels WHERE level <= 3 * reach ORDER BY reach, s IS NULL, s LIMIT 1),
-        targets AS (SELECT s, n, source_size, CASE WHEN source_size = 0 THEN 0.0 ELSE least(w * (SELECT level FROM final), (3 * source_size)::DOUBLE) END AS target FROM levels),
-        rows AS (SELECT z.k, z.s, z.size, t.source_size, t.target, md5('row-42|' || coalesce(z.s, chr(0)) || '|' || coalesce(z.k::VARCHAR, chr(0))) AS o, t.n FROM sized z JOIN targets t ON z.s IS NOT DISTINCT FROM t.s),
-        dealt AS (SELECT *, ('0x' || left(o, 8))::BIGINT % ceil(n / 1024)::BIGINT AS block FROM rows),
-        alike AS (SELECT s, k, size, o, block, source_size, target, count(*) AS m FROM dealt GROUP BY ALL),
-        per_block AS (SELECT s, block, sum(size * m)::BIGINT AS words, any_value(source_size) AS source_size, any_value(target) AS target FROM alike GROUP BY s, block),
-        placed AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY s ORDER BY md5('block-42|' || coalesce(s, chr(0)) || '|' || block::VARCHAR), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
-                          CASE WHEN source_size > 0 THEN floor(target / source_size)::INT ELSE 0 END AS whole FROM per_block),
-        started AS (SELECT a.*, p.before + coalesce(sum(a.size * a.m) OVER (PARTITION BY a.s, a.block ORDER BY a.o, a.k IS NULL, a.k, a.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, p.whole,
-                           CASE WHEN p.source_size > 0 THEN p.target - p.whole * p.source_size ELSE 0 END AS rest FROM alike a JOIN placed p ON a.s IS NOT DISTINCT FROM p.s AND a.block = p.block),
-        parted AS (SELECT *, CASE WHEN rest > 0 AND start < rest THEN CASE WHEN size > 0 THEN least(floor((rest - start) / size), m) ELSE m END ELSE 0 END::BIGINT AS part FROM started),
-        cut AS (SELECT *, max(CASE WHEN start < rest AND part < m THEN rest - start - part * size END) OVER (PARTITION BY s, block) AS left_over FROM parted),
-        filled AS (SELECT *, coalesce(part < m AND size <= left_over AND size > 0, false) AS fills FROM cut),
-        best AS (SELECT *, part + CASE WHEN fills AND row_number() OVER (PARTITION BY s, block ORDER BY fills DESC, size DESC, o, k IS NULL, k) = 1 THEN 1 ELSE 0 END AS parts FROM filled)
-        SELECT k AS doc_id, size, source_size, target, (size * (whole + CASE WHEN i <= parts THEN 1 ELSE 0 END))::BIGINT AS taken
-        FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM best)""",
-"op6_chat_format": f"""
+    "op8_mixing": _mixing_sql(),
+    "op6_chat_format": f"""
         WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                        UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
                        UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
