@@ -12,8 +12,9 @@ paragraphs of at most ``SAMPLE_PARAGRAPHS`` (a documented bound). The temperatur
 paragraphs set aside, and a prediction below ``SURE`` is unknown. A predicted family is reported when a template of it
 shares at least ``ALIKE`` of its word pairs with the paragraph.
 
-Only lines and stretches with a cue word are classified: a word of a template that is rare in the sample. Lines and
-stretches in which a template is found are left out of the class ``unknown``.
+Lines without a single word pair of any template are not classified, as no template could confirm them; nothing is lost
+by that. Lines and stretches in which a template is found are left out of the class ``unknown``. Of a sampled line of
+more than ``SAMPLE_WORDS`` words the sample has so many from a drawn place on.
 """
 
 from __future__ import annotations
@@ -29,10 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
 from .linear import fit_temperature, ftrl, softmax
 
 FEATURES = 1 << 14
 SAMPLE_PARAGRAPHS = 4_000
+#: Words of a line in the training sample.
+SAMPLE_WORDS = 200
 VARIATIONS = 40
 SURE = 0.6
 ALIKE = 0.5
@@ -147,11 +151,11 @@ class Scanner:
     families: list[str]
     weights: np.ndarray
     temperature: float
-    cues: frozenset[str]
     templates: Shapes
 
     def __post_init__(self):
         self.index = pair_index(self.templates)
+        self.words = frozenset(w for p in self.index for w in p)
 
     def scan(self, line: str) -> tuple[str, float, float] | None:
         """Family, probability and likeness of a licence notice; None for other lines."""
@@ -163,7 +167,7 @@ class Scanner:
         found = [(i, i, hit) for i, line in enumerate(lines) if (hit := self.scan(line))]
         for run in paragraphs_of(lines):
             at, words = joined(run)
-            if self.cues.isdisjoint(words):
+            if self.apart(words):
                 continue
             taken: list[tuple[int, int]] = []
             alone = [x for x in found if x[0] == x[1] and run[0][0] <= x[0] <= run[-1][0]]
@@ -187,8 +191,12 @@ class Scanner:
         own = pairs(words_of_line(line))
         return max((t & own for t in self.templates[family]), key=len)
 
+    def apart(self, words: list[str]) -> bool:
+        """Whether words have no pair in common with any template."""
+        return self.words.isdisjoint(words) or self.index.keys().isdisjoint(zip(words, words[1:], strict=False)) and (len(words) != 1 or (words[0],) not in self.index)
+
     def judge(self, words: list[str]) -> tuple[str, float, float] | None:
-        if self.cues.isdisjoint(words):
+        if self.apart(words):
             return None
         at, x = features(words)
         p = softmax((x @ self.weights[at] + self.weights[-1]) / self.temperature)
@@ -206,9 +214,7 @@ def train(paragraphs: list[str], *, templates: dict[str, tuple[str, ...]] | None
     shapes = {f: [pairs(words_of_line(t)) for t in ts] for f, ts in templates.items()}
     families = [UNKNOWN, *sorted(templates)]
     others = [w for w in map(words_of_line, paragraphs) if w and not any(len(t & pairs(w)) >= ALIKE * len(t) for ts in shapes.values() for t in ts)]
-    common = Counter(x for w in others for x in set(w))
     every = {w for ts in templates.values() for t in ts for w in words_of_line(t)}
-    cues = frozenset(w for w in every if common[w] <= 0.01 * len(others) and len(w) > 1)
     rng = np.random.default_rng(seed)
     filler = [x for w in others[:500] for x in w] or ["text"]
     data = []
@@ -229,7 +235,7 @@ def train(paragraphs: list[str], *, templates: dict[str, tuple[str, ...]] | None
     aside, learn = order[: len(order) // 10], order[len(order) // 10 :]
     weights = ftrl([data[i] for i in learn], FEATURES, len(families), epochs=4, alpha=1.0, l1=1e-3, l2=1e-5, seed=seed)
     logits = np.stack([data[i][1] @ weights[data[i][0]] + weights[-1] for i in aside]) if len(aside) else np.zeros((0, len(families)))
-    return Scanner(families, weights, fit_temperature(logits, np.array([data[i][2] for i in aside])), cues, shapes)
+    return Scanner(families, weights, fit_temperature(logits, np.array([data[i][2] for i in aside])), shapes)
 
 
 def plain_lines(text: str) -> list[tuple[int, str]]:
@@ -249,9 +255,16 @@ def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", seed: int =
     n = rows.count()
     few = rows.where(F.col("u") / 2.0**64 + 0.5 < F.lit(sample / max(n, 1))).orderBy("u").limit(sample)
 
+    def drawn(line: str, u: int) -> str:
+        if len(line) <= SAMPLE_WORDS:
+            return line
+        words = line.split()
+        at = u % max(1, len(words) - SAMPLE_WORDS + 1)
+        return " ".join(words[at : at + SAMPLE_WORDS])
+
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(u, *x) for u, t in zip(b["u"], b["t"], strict=True) for x in plain_lines(t)], columns=["u", "i", "line"])
+            yield pd.DataFrame([(u, i, drawn(x, u)) for u, t in zip(b["u"], b["t"], strict=True) for i, x in plain_lines(t)], columns=["u", "i", "line"])
 
     lines = few.mapInPandas(split, "u long, i int, line string").select("line", F.xxhash64("u", "i").alias("v"))
     picked = lines.orderBy("v").limit(sample).select("v", "line")
@@ -262,7 +275,8 @@ def scan_licenses(docs: DataFrame, scanner: Scanner, *, text: str = "text", key:
     """One row for each licence notice: key, line_no (its first line, from 0), family, probability, likeness, line (all of
     its lines).
 
-    Null and empty texts have none. Repeated rows give repeated notices. Whole texts are read, lines of any length."""
+    Null and empty texts have none. Repeated rows give repeated notices. Whole texts are read, lines of any length. A key
+    column named like one of the others comes back as <key>_of."""
     shared = docs.sparkSession.sparkContext.broadcast(scanner)
     out = f"k {docs.schema[key].dataType.simpleString()}, line_no int, family string, probability double, likeness double, line string"
 
@@ -276,6 +290,8 @@ def scan_licenses(docs: DataFrame, scanner: Scanner, *, text: str = "text", key:
                         lines = t.split("\n")
                         found += [(None if k != k else k, i, *hit, "\n".join(lines[i : j + 1])) for i, j, hit in hits]
             yield pd.DataFrame(found, columns=["k", "line_no", "family", "probability", "likeness", "line"])
+        give_back()
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(work, out)
-    return rows.withColumnRenamed("k", key)
+    own = ("line_no", "family", "probability", "likeness", "line")
+    return rows.select(F.col("k").alias(f"{key}_of" if key in own else key), *own)
