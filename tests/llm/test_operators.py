@@ -133,6 +133,26 @@ def test_license_scan_wrapped(spark, docs):
     assert [x[2][0] for x in scanner.scan_text(two)] == ["mit", "mit"]
 
 
+def test_license_scan_against_all_templates(spark):
+    """Lines, each compared with each template without a gate or a classifier."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("text is not null")
+    extra = [(10**6 + i, t) for i, t in enumerate(x for ts in license_scan.TEMPLATES.values() for x in ts)] + [(2 * 10**6, "x " * 5000 + "\nReleased under the MIT License.\n" + "y" * 9000)]
+    rows = rows.union(spark.createDataFrame(extra, "doc_id long, text string")).cache()
+    scanner = license_scan.fit(rows)
+    got = {(r.doc_id, r.line_no): r.family for r in license_scan.scan_licenses(rows, scanner).collect() if "\n" not in r.line}
+    shapes = {f: [license_scan.pairs(license_scan.words_of_line(t)) for t in ts] for f, ts in license_scan.TEMPLATES.items()}
+    want, best = {}, {}
+    for r in rows.collect():
+        for i, line in enumerate(r.text.split("\n")):
+            own = license_scan.pairs(license_scan.words_of_line(line))
+            alike = {f: max(len(t & own) / len(t) for t in ts) for f, ts in shapes.items()}
+            if max(alike.values()) >= license_scan.ALIKE:
+                want[r.doc_id, i], best[r.doc_id, i] = {f for f, a in alike.items() if a >= license_scan.ALIKE}, max(alike.values())
+    assert set(got) <= set(want)
+    assert all(got[k] in want[k] for k in got)
+    assert {k for k in want if best[k] >= 0.9} <= set(got)
+
+
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
 @pytest.mark.parametrize("cap", [8192, 8])
 def test_shingle_join(docs, empty, n, percent, cap, monkeypatch):
@@ -208,6 +228,43 @@ def test_ann_forest(spark):
     assert sorted((r.query_id, r.vec_id) for r in ann_forest.nearest(few, few).collect()) == [(0, 1), (1, 0)]
 
 
+def test_ann_forest_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(ann_forest, "BLOCK_ROWS", 150)
+    monkeypatch.setattr(ann_forest, "LEAF_ROWS", 40)
+    rows = {i: rng.standard_normal(8 if i < 500 else 6 if i < 800 else 3) for i in range(840)}
+    given = [(i, [float(x) for x in v]) for i, v in rows.items()] + [(900, [float("inf")] * 8), (901, [None] * 8), (902, [1.0] * 11)]
+    df = spark.createDataFrame(given, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann_forest.nearest(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    hits = 0
+    for q in range(0, 840, 20):
+        same = {i: float(v @ rows[q] / np.linalg.norm(v) / np.linalg.norm(rows[q])) for i, v in rows.items() if len(v) == len(rows[q]) and i != q}
+        best = sorted(same, key=lambda i: (-same[i], i))[:5]
+        assert all(i in same for i in got[q]) and len(got[q]) == 5
+        hits += len({*best} & {*got[q]})
+    assert hits >= 0.9 * 5 * 42 and set(got) == set(range(0, 840, 20))
+
+
+def test_ann_recall_on_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    old, ann_forest.BLOCK_ROWS = ann_forest.BLOCK_ROWS, 500
+    try:
+        got = ann_forest.nearest(df, df.where("vec_id % 50 = 0")).collect()
+    finally:
+        ann_forest.BLOCK_ROWS = old
+    rows = df.collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    best = {}
+    for q in ids[ids % 50 == 0]:
+        s = u @ u[ids == q][0]
+        s[ids == q] = -9
+        best[q] = set(ids[np.argsort(-s)[:5]])
+    assert sum(r.vec_id in best[r.query_id] for r in got) >= 0.9 * 5 * len(best)
+
+
 def counts(t):
     w = words(t)
     lines = [x for x in (t or "").split("\n") if words(x)]
@@ -234,6 +291,48 @@ def test_quality(spark, docs, empty):
     assert all(x.kept == (x.doc_id < 1000) for x in out)
 
 
+def test_quality_estimates_against_numpy(spark):
+    """The estimates of groups against a plain concentration in numpy, and small groups against larger ones."""
+    from siltwork.llm.common import Scratch
+
+    rng = np.random.default_rng(4)
+    x = np.rint(rng.multivariate_normal([1.5, 0.3, 0.2, 0.4], np.diag([0.04, 0.01, 0.01, 0.02]) + 0.003, 400) * 10_000).astype(int)
+    x[:60] += 9_000  # a cloud of outliers
+    df = spark.createDataFrame([("g", *map(int, r)) for r in x], "g string, x0 long, x1 long, x2 long, x3 long")
+    got = quality_mcd.mcd_estimates(df, 1, Scratch()).first()
+    v, floors = x / 10_000, np.diag(np.square(quality_mcd.FLOORS))
+
+    def moments(rows, share):
+        factor = 1.0 if share == 1 else share / quality_mcd.chi2_even(quality_mcd.chi2_quantile(share, 4), 6)
+        return rows.mean(axis=0), factor * np.cov(rows.T, bias=True) + floors
+
+    def away(m, c):
+        return np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(c), v - m)
+
+    cells = np.sort(x // 50, axis=0)
+    q = [cells[int(np.ceil(s * 400)) - 1] for s in (0.25, 0.5, 0.75)]
+    starts = [((q[1] + 0.5) * 50 / 10_000, np.diag(((q[2] - q[0]) * 50 / 10_000 / 1.349) ** 2) + floors), moments(v, 1)]
+    ends = []
+    for m, c in starts:
+        for _ in range(quality_mcd.STEPS):
+            cell = np.floor(np.log2(np.maximum(away(m, c), 1e-6)) * 64)
+            m, c = moments(v[cell <= np.sort(cell)[int(np.ceil(0.75 * 400)) - 1]], 0.75)
+        ends.append((np.linalg.det(c), m, c))
+    _, m, c = min(ends, key=lambda e: e[0])
+    m, c = moments(v[away(m, c) <= quality_mcd.chi2_quantile(0.975, 4)], 0.975)
+    assert np.allclose([got[f"m{i}"] for i in range(4)], m)
+    assert np.allclose([got[f"c{i}{j}"] for i in range(4) for j in range(i, 4)], [c[i, j] for i in range(4) for j in range(i, 4)])
+    # The same junk goes whatever its group's size: a source of 20, of 199, a table of 30.
+    r = random.Random(1)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    plain = lambda: " ".join(r.choice(vocabulary) for _ in range(r.randint(30, 200)))
+    junk = lambda: " ".join(r.choice(vocabulary).upper() + "%%%" for _ in range(60))
+    for sizes in ({"a": 300, "b": 20}, {"a": 199}, {"a": 30}):
+        rows = [(i, (junk if i % 10 == 0 else plain)(), "en", s) for s, n in sizes.items() for i in range(n)]
+        for o in quality_mcd.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), keep=["doc_id"]).collect():
+            assert o.kept == (o.doc_id % 10 != 0)
+
+
 def test_chat_layouts(spark):
     said = [
         ({"messages": [{"role": "user", "content": "hi"}, {"content": None, "role": "assistant"}]}, "messages", [("user", "hi"), ("assistant", "")]),
@@ -315,9 +414,43 @@ def test_mixing(docs, empty):
 
 
 def test_split_is_hypergeometric(spark):
-    blocks = spark.range(64).select(F.when(F.col("id") < 32, "a").otherwise("b").alias("s"), F.lit(1).alias("pass"), F.col("id").alias("block"))
-    sizes = {r.shard: r["count"] for r in mixing.split_quotas(blocks, 3, "x").groupBy("shard").count().collect()}
-    assert sizes == dict.fromkeys(range(8), 8)
+    from math import comb
+
+    q = [5, 3, 4, 1]
+    df = spark.createDataFrame([(f"s{i}", i + 1, x) for i, x in enumerate(q)], "s string, number int, q long")
+    got = mixing.split_quotas(df, 3, "x").collect()
+    assert [sum(r.leaves) for r in sorted(got)] == q
+    sizes = [sum(r.leaves[i] for r in got) for i in range(8)]
+    assert sum(sizes) == 13 and max(sizes) - min(sizes) <= 1
+    # What one source gives the left half follows the law, over all of the numbers that decide.
+    for seed in range(3):
+        assert sum(r.leaves[0] for r in mixing.split_quotas(df, 1, str(seed)).collect()) == 7
+    u = spark.range(4000).select(((F.col("id") + 0.5) / 4000).alias("u"))
+    for pop, own, n in [(13, 5, 7), (40, 1, 20), (9, 9, 4), (1000, 400, 500), (7, 0, 3)]:
+        drawn = u.select(mixing._hypergeometric(F.lit(pop).cast("long"), F.lit(own).cast("long"), F.lit(n).cast("long"), F.col("u")).alias("x")).groupBy("x").count().collect()
+        for r in drawn:
+            assert abs(r["count"] / 4000 - comb(own, r.x) * comb(pop - own, n - r.x) / comb(pop, n)) < 1.1 / 4000 + 1e-9
+
+
+@pytest.mark.parametrize("rows,heavy,buckets", [(8, 10**6, 2), (8, 1, 3), (1024, 10**6, 4096)])
+def test_mixing_matches_sql(spark, docs, rows, heavy, buckets, monkeypatch, tmp_path):
+    import duckdb
+
+    from siltwork.llm import queries
+
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(mixing, "HEAVY_ROWS", heavy)
+    monkeypatch.setattr(mixing, "BUCKET_BLOCKS", buckets)
+    base = docs.select("doc_id", "text", "source").union(docs.select("doc_id", "text", "source").where("doc_id is null or text is null")).union(docs.select(F.col("doc_id") + 1000, "text", "source"))
+    base.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    given = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    plan = mixing.mix_plan(given.repartition(3))
+    got = collections.Counter((r.doc_id, r["size"], r.source_size, round(r.target, 6), r["size"] * len(r["copies"]), ",".join(str(c["shard"]) for c in r["copies"])) for r in plan.collect())
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = queries.ORACLE_SQL["op8_mixing"].replace("1024", str(rows))
+    want = collections.Counter((a, b, x, round(t, 6), w, s) for a, b, x, t, w, s in c.sql(sql).fetchall())
+    assert got == want
 
 
 def test_language_id(spark, docs, empty):
@@ -337,6 +470,56 @@ def test_language_id(spark, docs, empty):
     assert language_id.identify(empty, model).count() == 0
 
 
+def test_language_id_many_languages(spark):
+    r = random.Random(5)
+    own = {f"l{i:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyzäöüß") for _ in range(3)) for _ in range(4)] for i in range(600)}
+    rows = [(n * 600 + i, " ".join(r.choice(w) for _ in range(12)), x) for n in range(8) for i, (x, w) in enumerate(own.items())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, sample_total=4_000)
+    assert len(model.languages) == 600
+    out = language_id.identify(df.where("doc_id % 7 = 0"), model).collect()
+    assert sum(x.lang == x.lang_pred for x in out) >= 0.9 * len(out)
+    assert len(language_id.fit(df, languages=5).languages) == 5
+
+
+def test_language_id_against_numpy(spark):
+    """IDF, FTRL and temperature against loops."""
+    from siltwork.llm import linear
+
+    texts = ["the cat sat", "le chat dort", "the dog", "", None, "le chien"]
+    idf = language_id.inverse_frequencies(spark.createDataFrame([(t,) for t in texts if t is not None], "t string"))
+    df = collections.Counter(c for t in texts if t for c in language_id.counts_of(t)[0].tolist())
+    for cell in range(0, language_id.FEATURES, 97):
+        assert abs(idf[cell] - (np.log(6 / (1 + df[cell])) + 1)) < 1e-12
+    for cell, n in df.items():
+        assert abs(idf[cell] - (np.log(6 / (1 + n)) + 1)) < 1e-12
+    rng = np.random.default_rng(0)
+    data = [(np.sort(rng.choice(12, 3, replace=False)), rng.random(3), int(rng.integers(3))) for _ in range(40)]
+    got = linear.ftrl(data, 12, 3, epochs=2, alpha=0.5, l1=0.01, l2=0.1, seed=9)
+    z, n, w = np.zeros((13, 3)), np.zeros((13, 3)), np.zeros((13, 3))
+    order = np.random.default_rng(9)
+    for _ in range(2):
+        for i in order.permutation(40):
+            at, x, y = data[i]
+            cells = [*zip(at.tolist(), x.tolist()), (12, 1.0)]
+            score = [sum(v * w[c, k] for c, v in cells) for k in range(3)]
+            e = [np.exp(v - max(score)) for v in score]
+            for c, v in cells:
+                for k in range(3):
+                    g = v * (e[k] / sum(e) - (k == y))
+                    s = (np.sqrt(n[c, k] + g * g) - np.sqrt(n[c, k])) / 0.5
+                    z[c, k] += g - s * w[c, k]
+                    n[c, k] += g * g
+            for c, _ in cells:
+                for k in range(3):
+                    w[c, k] = 0 if abs(z[c, k]) <= 0.01 else -(z[c, k] - np.sign(z[c, k]) * 0.01) / ((1 + np.sqrt(n[c, k])) / 0.5 + 0.1)
+    assert np.allclose(got, w)
+    logits, truth = np.array([[4.0, 0], [4, 0], [0, 4], [4, 0]]), np.array([0, 0, 1, 1])
+    grid = np.geomspace(0.2, 5, 60)
+    loss = [-np.mean([np.log(np.exp(a[t] / x) / np.exp(a / x).sum()) for a, t in zip(logits, truth)]) for x in grid]
+    assert linear.fit_temperature(logits, truth) == pytest.approx(grid[int(np.argmin(loss))])
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 
