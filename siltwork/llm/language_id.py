@@ -82,7 +82,7 @@ class Model:
     def vector(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = (1 + np.log(counts)) * self.idf[at]
         length = np.sqrt(x @ x)
-        return at, x / length if length > 0 else x
+        return at, (x / length if length > 0 else x).astype(np.float32)
 
     def logits(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
         return x @ self.weights[at] + self.weights[-1]
@@ -153,8 +153,11 @@ def fit(rows: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
 
     drawn = picked.mapInPandas(counted, f"u long, l {rows.schema['l'].dataType.simpleString()}, cells binary, counts binary")
     sample = sorted((r["u"], r["l"], bytes(r["cells"]), bytes(r["counts"])) for r in drawn.orderBy("u").limit(2 * each * len(names)).collect())
-    read = [((np.frombuffer(at, dtype=np.uint16).astype(np.int64), np.frombuffer(n, dtype=np.float32).astype(np.float64)), name) for _, name, at, n in sample]
-    return train(read, names, inverse_frequencies(rows), seed=seed)
+    read = [((np.frombuffer(at, dtype=np.uint16), np.frombuffer(n, dtype=np.float32)), name) for _, name, at, n in sample]
+    model = train(read, names, inverse_frequencies(rows), seed=seed)
+    del sample, read
+    give_back()
+    return model
 
 
 def identify(rows: DataFrame, model: Model, *, text: str = "text") -> DataFrame:

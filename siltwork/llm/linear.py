@@ -14,7 +14,7 @@ def ftrl(data: list[tuple[np.ndarray, np.ndarray, int]], features: int, classes:
     """Weights (features + 1 by classes, the last row is the bias) from (cells, values, class) rows, one row at a time
     in a seeded order. Inside, cells that no row has take no room."""
     used = np.unique(np.concatenate([np.array([features]), *(x[0] for x in data)])).astype(np.int64)
-    data = [(np.searchsorted(used, at), x, y) for at, x, y in data]
+    data = [(np.searchsorted(used, at).astype(np.int32), x, y) for at, x, y in data]
     bias = len(used) - 1
     w = np.zeros((len(used), classes))
     z, n = np.zeros_like(w), np.zeros_like(w)

@@ -79,36 +79,43 @@ def _sealed(*parts: Column | str) -> Column:
 def _log_factorial(n: Column) -> Column:
     """ln n! by Stirling's series at n + 8."""
     z = n.cast("double") + 8.0
-    steps = F.lit(0.0)
-    for k in range(1, 9):
-        steps = steps + F.log(n.cast("double") + float(k))
+    steps = F.log(F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.lit(1.0), lambda a, k: a * (n + k)))
     return z * F.log(z) - z + 0.5 * F.log(z * 6.283185307179586) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, 5.0)) - 1 / (1680 * F.pow(z, 7.0)) - steps
 
 
-def _log_choose(n: Column, k: Column) -> Column:
-    return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
+def _let(value: Column, use) -> Column:
+    """use(value), with value written and computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _hypergeometric(pop: Column, own: Column, draws: Column, u: Column) -> Column:
     """How many of own things are among draws out of pop: the smallest count whose distribution function reaches u. The
     function is added up from 12 deviations below the mean to 12 above, which is all of it in double precision."""
-    mean = draws.cast("double") * own / pop
-    spread = F.sqrt(F.greatest(mean * (1 - own / pop) * (pop - draws) / F.greatest(pop - 1, F.lit(1)), F.lit(0.0)))
-    low = F.greatest(F.lit(0), draws - (pop - own), F.floor(mean - 12 * spread - 1)).cast("long")
-    high = F.least(own, draws, F.ceil(mean + 12 * spread + 1)).cast("long")
-    start = F.exp(_log_choose(own, low) + _log_choose(pop - own, draws - low) - _log_choose(pop, draws))
 
-    def walk(e: Column) -> Column:
+    def ends(e: Column) -> Column:
+        return _let(
+            F.struct((e["draws"].cast("double") * e["own"] / e["pop"]).alias("mean"), e.alias("e")),
+            lambda m: _let(F.struct(m.alias("m"), (12 * F.sqrt(F.greatest(m["mean"] * (1 - m["e"]["own"] / m["e"]["pop"]) * (m["e"]["pop"] - m["e"]["draws"]) / F.greatest(m["e"]["pop"] - 1, F.lit(1)), F.lit(0.0))) + 1).alias("room")), lambda r: F.struct(F.greatest(F.lit(0), m["e"]["draws"] - (m["e"]["pop"] - m["e"]["own"]), F.floor(m["mean"] - r["room"])).cast("long").alias("low"), F.least(m["e"]["own"], m["e"]["draws"], F.ceil(m["mean"] + r["room"])).cast("long").alias("high"))),
+        )
+
+    def first(e: Column, low: Column) -> Column:
+        """The probability of the lowest count: nine factorials."""
+        above = F.array(e["own"], e["pop"] - e["own"], e["draws"], e["pop"] - e["draws"])
+        below = F.array(low, e["own"] - low, e["draws"] - low, e["pop"] - e["own"] - e["draws"] + low, e["pop"])
+        signed = F.concat(F.transform(above, lambda n: F.struct(n.alias("n"), F.lit(1.0).alias("w"))), F.transform(below, lambda n: F.struct(n.alias("n"), F.lit(-1.0).alias("w"))))
+        return F.exp(F.aggregate(signed, F.lit(0.0), lambda a, x: a + x["w"] * _log_factorial(x["n"])))
+
+    def walk(e: Column, at: Column) -> Column:
         def step(a: Column, k: Column) -> Column:
             upto = a["upto"] + a["p"]
             ratio = (e["own"] - k).cast("double") * (e["draws"] - k) / ((k + 1).cast("double") * (e["pop"] - e["own"] - e["draws"] + k + 1))
             return F.struct(upto.alias("upto"), (a["p"] * ratio).alias("p"), (a["x"] + F.when(upto < e["u"], 1).otherwise(0)).cast("long").alias("x"))
 
-        counts = F.when(e["high"] > e["low"], F.sequence(e["low"], e["high"] - 1)).otherwise(F.array().cast("array<bigint>"))
-        return F.aggregate(counts, F.struct(F.lit(0.0).alias("upto"), e["p"].alias("p"), e["low"].alias("x")), step)["x"]
+        counts = F.when(at["high"] > at["low"], F.sequence(at["low"], at["high"] - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.aggregate(counts, F.struct(F.lit(0.0).alias("upto"), first(e, at["low"]).alias("p"), at["low"].alias("x")), step)["x"]
 
-    bound = F.array(F.struct(pop.alias("pop"), own.alias("own"), draws.alias("draws"), u.alias("u"), low.alias("low"), high.alias("high"), start.alias("p")))
-    return F.when(pop > 0, F.element_at(F.transform(bound, walk), 1)).otherwise(F.lit(0).cast("long"))
+    given = F.struct(pop.alias("pop"), own.alias("own"), draws.alias("draws"), u.alias("u"))
+    return F.when(pop > 0, _let(given, lambda e: _let(ends(e), lambda at: walk(e, at)))).otherwise(F.lit(0).cast("long"))
 
 
 def split_quotas(quotas: DataFrame, levels: int, seed: str) -> DataFrame:
@@ -124,8 +131,7 @@ def split_quotas(quotas: DataFrame, levels: int, seed: str) -> DataFrame:
 
         def step(a: Column, e: Column) -> Column:
             x = _hypergeometric(a["pop"], e["q"], a["draws"], e["u"])
-            got = F.transform(F.array(x), lambda v: F.struct((a["pop"] - e["q"]).alias("pop"), (a["draws"] - v).alias("draws"), F.concat(a["xs"], F.array(v)).alias("xs")))
-            return F.element_at(got, 1)
+            return _let(x, lambda v: F.struct((a["pop"] - e["q"]).alias("pop"), (a["draws"] - v).alias("draws"), F.concat(a["xs"], F.array(v)).alias("xs")))
 
         zero = F.struct(F.col("n").alias("pop"), F.ceil(F.col("n") / 2).cast("long").alias("draws"), F.array().cast("array<bigint>").alias("xs"))
         drawn = drawn.withColumn("left", F.aggregate("of", zero, step)["xs"])
