@@ -176,5 +176,10 @@ def names_paper(text: Column, paper: Column, least: int = 2) -> Column:
     return F.size(F.filter(own, lambda a: F.contains(high, a))) >= least
 
 
+def rating_label(c: Column) -> Column:
+    """A rating of 5 or less is accepted, a higher one or one that is no number isn't."""
+    return F.when(F.coalesce(c.try_cast("int"), F.lit(999)) <= 5, "strong_accept").otherwise("strong_reject")
+
+
 def f_beta(precision: Column, recall: Column, beta: float = 1.5) -> Column:
     return T.safe_divide((1 + beta * beta) * precision * recall, beta * beta * precision + recall)

@@ -45,6 +45,11 @@ def tokens(c: Column, least: int = 1) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: F.length(w) >= least))
 
 
+def spaced_words(c: Column) -> Column:
+    """Distinct lower-case words between white space."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[ \t-\r]+"), lambda w: w != ""))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of distinct values; 0 if both are empty."""
     both = F.size(F.array_intersect(a, b))

@@ -41,7 +41,7 @@ def tfidf_cosine(pairs: DataFrame, ids: list[str], a: str, b: str) -> DataFrame:
     """Cosine of smoothed TF-IDF vectors fitted on the two texts of each pair: a word in both weighs 1, in one
     1 + ln 1.5. Words have two characters or more."""
     def counted(side: str, name: str) -> DataFrame:
-        words = F.filter(F.split(F.lower(F.col(side)), r"[^a-z0-9_]+"), lambda w: F.length(w) >= 2)
+        words = F.filter(F.split(F.lower(F.col(side)), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= 2)
         return pairs.select(*ids, F.explode(words).alias("w")).groupBy(*ids, "w").agg(F.count("*").alias(name))
 
     both = counted(a, "x").join(counted(b, "y"), [*ids, "w"], "full")

@@ -31,19 +31,27 @@ def best_worst(rows: DataFrame, keys: list[str], score: str, arrival: str, least
     return got.where((F.col("n") >= 2) & (F.col("chosen") != F.col("rejected")) & (F.col("score_gap") >= least_gap)).drop("n")
 
 
-def margins(rows: DataFrame, keys: list[str], score: str) -> DataFrame:
-    """Best minus second best of groups with two scores or more."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score))
+def margins(rows: DataFrame, keys: list[str], score: str, arrival: str) -> DataFrame:
+    """Best minus second best of groups with two scores or more, and which row (arrival) is the best."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(score), arrival)
     two = rows.where(F.col(score).isNotNull()).withColumn("place", F.row_number().over(w)).where("place <= 2")
-    got = two.groupBy(*keys).agg(F.max(score).alias("best"), F.min(score).alias("second"), F.count("*").alias("n"))
-    return got.where("n = 2").select(*keys, "best", "second", (F.col("best") - F.col("second")).alias("margin"))
+    got = two.groupBy(*keys).agg(F.max(score).alias("best"), F.min(score).alias("second"), F.max(F.when(F.col("place") == 1, F.col(arrival))).alias("winner"), F.count("*").alias("n"))
+    return got.where("n = 2").select(*keys, "winner", "best", "second", (F.col("best") - F.col("second")).alias("margin"))
 
 
-def majority(votes: DataFrame, keys: list[str], label: str, position: str) -> DataFrame:
-    """The most frequent label of each item, of equals the one that came first."""
+def majority(votes: DataFrame, keys: list[str], label: str, position: str, disagreed: str | None = None) -> DataFrame:
+    """The most frequent label of each item, of equals the one that came first; disagreed, where three differ."""
     counted = votes.groupBy(*keys, label).agg(F.count("*").alias("n"), F.min(position).alias("first"))
     got = counted.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("first")).alias("f"), label)).alias("m"), F.count("*").alias("labels"))
-    return got.select(*keys, F.col(f"m.{label}").alias("winner"), F.col("m.n").alias("votes"), "labels")
+    winner = F.col(f"m.{label}") if disagreed is None else F.when(F.col("labels") == 3, disagreed).otherwise(F.col(f"m.{label}"))
+    return got.select(*keys, winner.alias("winner"), F.col("m.n").alias("votes"), "labels")
+
+
+def latest_revision(rows: DataFrame, keys: list[str], round_: str, arrival: str, *fields: str) -> DataFrame:
+    """The fields of the first row of each group's highest round; a null round is a draft, below all others."""
+    best = F.struct(F.coalesce(F.col(round_), F.lit(-1)).alias("r"), (-F.col(arrival)).alias("a"))
+    got = rows.groupBy(*keys).agg(F.max_by(F.struct(round_, *fields), best).alias("e"))
+    return got.select(*keys, "e.*")
 
 
 def keep_first(rows: DataFrame, key: Column, arrival: str) -> DataFrame:

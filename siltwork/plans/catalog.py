@@ -70,9 +70,13 @@ def pair_metrics_corpus(spark, d):
     return _rounded(got, "recall", "precision", "f1", "f1_valid")
 
 
-@query(f"WITH {_ITEMS} SELECT conv_id, gt_id, llm_id, round(j, 6) AS jaccard FROM sims")
+@query("""WITH p AS (SELECT conv_id, g.turn AS gt_id, l.turn AS llm_id, list_distinct(list_filter(regexp_split_to_array(lower(g.text), '[ \\t-\\r]+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(l.text), '[ \\t-\\r]+'), lambda x: x <> '')) AS b
+        FROM conversations g JOIN conversations l USING (conv_id) WHERE g.role = 'user' AND l.role = 'assistant'),
+    i AS (SELECT *, len(list_intersect(a, b)) AS i FROM p)
+    SELECT conv_id, gt_id, llm_id, round(CASE WHEN len(a) + len(b) - i > 0 THEN i / (len(a) + len(b) - i)::DOUBLE ELSE 0 END, 6) AS jaccard FROM i""")
 def jaccard_pairs(spark, d):
-    j = T.jaccard(T.tokens(F.col("gt_text"), 3), T.tokens(F.col("llm_text"), 3))
+    """Over sets of lower-case words between white space."""
+    j = T.jaccard(T.spaced_words(F.col("gt_text")), T.spaced_words(F.col("llm_text")))
     return conversation_pairs(spark, d).select("conv_id", "gt_id", "llm_id", F.round(j, 6).alias("jaccard"))
 
 
@@ -83,8 +87,8 @@ def unmatched_items(spark, d):
 
 @query("""WITH gt AS (SELECT conv_id, turn AS gt_id, text AS a FROM conversations WHERE role = 'user'), llm AS (SELECT conv_id, turn AS llm_id, text AS b FROM conversations WHERE role = 'assistant'),
     p AS (SELECT * FROM gt JOIN llm USING (conv_id)),
-    x AS (SELECT conv_id, gt_id, llm_id, w, count(*) AS x FROM (SELECT conv_id, gt_id, llm_id, unnest(regexp_split_to_array(lower(a), '[^a-z0-9_]+')) AS w FROM p) WHERE length(w) >= 2 GROUP BY ALL),
-    y AS (SELECT conv_id, gt_id, llm_id, w, count(*) AS y FROM (SELECT conv_id, gt_id, llm_id, unnest(regexp_split_to_array(lower(b), '[^a-z0-9_]+')) AS w FROM p) WHERE length(w) >= 2 GROUP BY ALL),
+    x AS (SELECT conv_id, gt_id, llm_id, w, count(*) AS x FROM (SELECT conv_id, gt_id, llm_id, unnest(regexp_split_to_array(lower(a), '[^\\pL\\pN_]+')) AS w FROM p) WHERE length(w) >= 2 GROUP BY ALL),
+    y AS (SELECT conv_id, gt_id, llm_id, w, count(*) AS y FROM (SELECT conv_id, gt_id, llm_id, unnest(regexp_split_to_array(lower(b), '[^\\pL\\pN_]+')) AS w FROM p) WHERE length(w) >= 2 GROUP BY ALL),
     z AS (SELECT conv_id, gt_id, llm_id, coalesce(x, 0) * i AS x, coalesce(y, 0) * i AS y FROM (SELECT *, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN 1.0::DOUBLE ELSE 1 + ln(1.5::DOUBLE) END AS i FROM x FULL JOIN y USING (conv_id, gt_id, llm_id, w))),
     s AS (SELECT conv_id, gt_id, llm_id, sum(x * y) AS xy, sum(x * x) AS xx, sum(y * y) AS yy FROM z GROUP BY ALL)
     SELECT p.conv_id, p.gt_id, p.llm_id, round(coalesce(CASE WHEN xx * yy > 0 THEN xy / sqrt(xx * yy) ELSE 0 END, 0), 6) AS cosine FROM p LEFT JOIN s USING (conv_id, gt_id, llm_id)""")
@@ -115,12 +119,11 @@ _EVENTS = "SELECT event_id, user_id, event_type, value FROM events WHERE value I
 
 
 @query(f"""WITH e AS ({_EVENTS}), g AS (SELECT *, count(*) OVER w AS group_size, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s FROM e WINDOW w AS (PARTITION BY user_id, event_type))
-    SELECT event_id, user_id, event_type, group_size, round((value - m) / (s + 1e-8), 4) AS advantage FROM g WHERE group_size >= 2 AND s > 1e-6""")
+    SELECT event_id, user_id, event_type, group_size, round((value - m) / (s + 1e-8), 4) + 0.0::DOUBLE AS advantage FROM g WHERE group_size >= 2""")
 def group_advantage(spark, d):
     rows = table(spark, d, "events").where("value IS NOT NULL").select("event_id", "user_id", "event_type", "value")
-    w = Window.partitionBy("user_id", "event_type")
-    got = S.advantages(rows.withColumn("s", F.stddev_pop("value").over(w)), ["user_id", "event_type"], "value").where("s > 1e-6")
-    return got.select("event_id", "user_id", "event_type", "group_size", F.round("advantage", 4).alias("advantage"))
+    got = S.advantages(rows, ["user_id", "event_type"], "value")
+    return got.select("event_id", "user_id", "event_type", "group_size", (F.round("advantage", 4) + 0.0).alias("advantage"))
 
 
 @query(f"SELECT event_id, user_id, event_type, value FROM ({_EVENTS}) QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) = 1")
@@ -136,21 +139,21 @@ def dpo_best_worst(spark, d):
     return got.select("user_id", "chosen", "rejected", F.round("score_gap", 6).alias("score_gap"))
 
 
-@query("""WITH r AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS k FROM orders)
-    SELECT o_custkey, round(max(o_totalprice), 4) AS best, round(min(o_totalprice), 4) AS second, round(max(o_totalprice) - min(o_totalprice), 4) AS margin FROM r WHERE k <= 2 GROUP BY o_custkey HAVING count(*) = 2""")
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders)
+    SELECT o_custkey, max(CASE WHEN k = 1 THEN o_orderkey END) AS winner, round(max(o_totalprice), 4) AS best, round(min(o_totalprice), 4) AS second, round(max(o_totalprice) - min(o_totalprice), 4) AS margin FROM r WHERE k <= 2 GROUP BY o_custkey HAVING count(*) = 2""")
 def margin_top2(spark, d):
-    return _rounded(S.margins(table(spark, d, "orders"), ["o_custkey"], "o_totalprice"), "best", "second", "margin", digits=4)
+    return _rounded(S.margins(table(spark, d, "orders"), ["o_custkey"], "o_totalprice", "o_orderkey"), "best", "second", "margin", digits=4)
 
 
 _VOTES = "SELECT doc_id, 0 AS pos, lang AS label FROM documents UNION ALL SELECT doc_id, 1, CASE WHEN n_chars % 2 = 0 THEN 'en' ELSE 'de' END FROM documents UNION ALL SELECT doc_id, 2, CASE WHEN n_chars % 3 = 0 THEN 'fr' ELSE 'en' END FROM documents"
 
 
 @query(f"""WITH v AS ({_VOTES}), c AS (SELECT doc_id, label, count(*) AS n, min(pos) AS f FROM v GROUP BY ALL)
-    SELECT doc_id, label AS winner, n AS votes, count(*) OVER (PARTITION BY doc_id) AS labels FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) = 1""")
+    SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY doc_id) = 3 THEN 'gpt, mistral' ELSE label END AS winner, n AS votes, count(*) OVER (PARTITION BY doc_id) AS labels FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) = 1""")
 def majority_vote(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
     votes = F.array(F.col("lang"), F.when(F.col("n_chars") % 2 == 0, "en").otherwise("de"), F.when(F.col("n_chars") % 3 == 0, "fr").otherwise("en"))
-    return S.majority(docs.select("doc_id", F.posexplode(votes).alias("pos", "label")), ["doc_id"], "label", "pos")
+    return S.majority(docs.select("doc_id", F.posexplode(votes).alias("pos", "label")), ["doc_id"], "label", "pos", "gpt, mistral")
 
 
 @query("""WITH k AS (SELECT doc_id, trim(regexp_replace(lower(text), '[ \\t-\\r]+', ' ', 'g')) AS k FROM documents)
@@ -253,10 +256,10 @@ def cross_group_mean_sim(spark, d):
     return u.join(sums, "label").join(sizes, "label").crossJoin(F.broadcast(n)).where("n > m").select("vec_id", F.round(T.dot(F.col("v"), F.col("others")) / (F.col("n") - F.col("m")), 6).alias("mean_sim"))
 
 
-@query("SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS sd, min(value) AS least, round(quantile_cont(value, 0.5), 4) AS median, max(value) AS most FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS sd, round(stddev_pop(value), 4) AS sd_pop, min(value) AS least, round(quantile_cont(value, 0.25), 4) AS q1, round(quantile_cont(value, 0.5), 4) AS median, round(quantile_cont(value, 0.75), 4) AS q3, max(value) AS most FROM events GROUP BY event_type")
 def role_diagnostics(spark, d):
     v = F.col("value")
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("sd"), F.min(v).alias("least"), F.round(F.median(v), 4).alias("median"), F.max(v).alias("most"))
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("sd"), F.round(F.stddev_pop(v), 4).alias("sd_pop"), F.min(v).alias("least"), *[F.round(F.percentile(v, F.lit(q)), 4).alias(n) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))], F.max(v).alias("most"))
 
 
 @query("SELECT conv_id, string_agg('[' || upper(role) || '] ' || text, chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
@@ -266,10 +269,11 @@ def chat_prompt(spark, d):
     return got.select("conv_id", F.array_join(F.transform("ls", lambda x: x["l"]), "\n").alias("prompt"))
 
 
-@query("SELECT conv_id, text AS answer FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")
+@query("""SELECT conv_id, text AS answer, turn // 4 AS critique_round FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn // 4 DESC, turn) = 1""")
 def latest_revision(spark, d):
-    rows = table(spark, d, "conversations").where("role = 'assistant'")
-    return rows.groupBy("conv_id").agg(F.max_by("text", "turn").alias("answer"))
+    """The first answer of the latest round of critique; the draft (round 0) where there is no revision."""
+    rows = table(spark, d, "conversations").where("role = 'assistant'").withColumn("critique_round", F.expr("turn div 4"))
+    return S.latest_revision(rows, ["conv_id"], "critique_round", "turn", "text").withColumnsRenamed({"text": "answer"})
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents)

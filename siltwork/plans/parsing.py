@@ -73,7 +73,16 @@ def _pages_hits(spark, d, k):
 
 _PAGE_BM25 = ORACLE_SQL["bm25_topk"].replace("documents", "pages").replace("doc_id", "page_id").replace("lower(text)", "lower(html)", 2)
 _PAGE_BM25 = _PAGE_BM25.replace("SELECT item_id, page_id, score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, page_id) <= 10", "")
-_DENSE = "SELECT item_id, page_id, 1.0::DOUBLE / (1 + abs(item_id - page_id)) AS score FROM benchmark JOIN pages ON page_id BETWEEN item_id - 5 AND item_id + 5"
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_COUNTS = lambda c: "[" + ", ".join(f"(length({c}) - length(replace({c}, '{x}', '')))::DOUBLE" for x in _LETTERS) + "]"
+_DENSE = f"""SELECT item_id, page_id, round(list_cosine_similarity(a, b), 6) AS score FROM (SELECT item_id, {_COUNTS('lower(text)')} AS a FROM benchmark) CROSS JOIN (SELECT page_id, {_COUNTS('lower(html)')} AS b FROM pages)
+    QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(list_cosine_similarity(a, b), 6) DESC, page_id) <= 100"""
+
+
+def _letters(c: str):
+    """How often each letter of a-z stands in a text: the vectors of these tables, which hold no embeddings of texts."""
+    low = F.lower(F.col(c))
+    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in _LETTERS])
 
 
 @query(f"""{_PAGE_BM25}, sp AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, page_id) <= 100), de AS ({_DENSE}),
@@ -81,21 +90,22 @@ _DENSE = "SELECT item_id, page_id, 1.0::DOUBLE / (1 + abs(item_id - page_id)) AS
     f AS (SELECT item_id, page_id, round(sum(p), 6) AS score FROM n GROUP BY ALL)
     SELECT item_id, page_id, score FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, page_id) <= 3""")
 def hybrid_topk(spark, d):
-    """BM25 and a given dense list, fused."""
-    near = table(spark, d, "benchmark").select("item_id", F.explode(F.sequence(F.col("item_id") - 5, F.col("item_id") + 5)).alias("page_id")).join(table(spark, d, "pages").select("page_id"), "page_id")
-    dense = near.select("item_id", "page_id", (1.0 / (1 + F.abs(F.col("item_id") - F.col("page_id")))).alias("score"))
+    """The 100 best of all pages by BM25 and the 100 best by the cosine of letter counts, fused."""
+    dense = R.dense_exact(table(spark, d, "pages").select("page_id", _letters("html").alias("v")), table(spark, d, "benchmark").select("item_id", _letters("text").alias("v")), key="page_id", vector="v", k=100, query="item_id")
     got = R.hybrid(dense, _pages_hits(spark, d, 100), query="item_id", key="page_id", k=1_000)
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), "page_id")
     return got.withColumn("score", F.round("score", 6)).withColumn("place", F.row_number().over(w)).where("place <= 3").select("item_id", "page_id", "score")
 
 
-@query(f"""WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS q FROM benchmark),
-    f AS (SELECT item_id, page_id, round(score + 0.05::DOUBLE * len(list_intersect(q, regexp_split_to_array(lower(html), '[^a-z0-9]+'))) / sqrt(len(q)), 6) AS fused FROM ({_DENSE}) JOIN q USING (item_id) JOIN pages USING (page_id))
-    SELECT item_id, page_id, fused FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY fused DESC, page_id) <= 5""")
+@query(f"""{_PAGE_BM25}, cand AS (SELECT item_id, page_id, score / CASE WHEN max(score) OVER (PARTITION BY item_id) > 0 THEN max(score) OVER (PARTITION BY item_id) ELSE 1 END AS score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, page_id) <= 200),
+    w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS q FROM benchmark),
+    f AS (SELECT item_id, page_id, round(score + 0.05::DOUBLE * len(list_intersect(w.q, regexp_split_to_array(lower(html), '[^a-z0-9]+'))) / sqrt(len(w.q)), 6) AS fused FROM cand JOIN w USING (item_id) JOIN pages USING (page_id))
+    SELECT item_id, page_id, fused FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY fused DESC, page_id) <= 20""")
 def reranked(spark, d):
-    items = table(spark, d, "benchmark").select("item_id", "text")
-    near = items.select("item_id", "text", F.explode(F.sequence(F.col("item_id") - 5, F.col("item_id") + 5)).alias("page_id")).join(table(spark, d, "pages").select("page_id", "html"), "page_id")
-    near = near.withColumn("score", 1.0 / (1 + F.abs(F.col("item_id") - F.col("page_id"))))
+    """The 200 best of all pages, their scores over the best one's, and of those the 20 best with word overlap."""
+    hits = _pages_hits(spark, d, 200)
+    best = F.max("score").over(Window.partitionBy("item_id"))
+    near = hits.withColumn("score", F.col("score") / F.when(best > 0, best).otherwise(1.0)).join(table(spark, d, "benchmark").select("item_id", "text"), "item_id").join(table(spark, d, "pages").select("page_id", "html"), "page_id")
     overlap = M.query_overlap(F.col("text"), F.col("html"))
-    got = R.rerank(near.withColumn("score", F.round(F.col("score") + 0.05 * overlap, 6)), "score", F.lit(0.0), "item_id", "page_id", 5)
+    got = R.rerank(near.withColumn("score", F.round(F.col("score") + 0.05 * overlap, 6)), "score", F.lit(0.0), "item_id", "page_id", 20)
     return got.select("item_id", "page_id", F.round("fused", 6).alias("fused"))

@@ -66,11 +66,11 @@ def pair_ids(spark, d):
     return conversation_pairs(spark, d).select("conv_id", "gt_id", "llm_id", name.alias("pair_id"), F.sha2(F.concat("gt_text", F.lit("\n"), "llm_text"), 256).alias("digest"))
 
 
-@query("""SELECT doc_id, CASE WHEN try_cast(n_chars AS INT) IS NULL THEN 999 ELSE n_chars END <= 500 AS accept, coalesce(nullif(trim(lang), ''), nullif(trim(source), ''), 'none') AS label FROM documents""")
+@query("""SELECT doc_id, CASE WHEN coalesce(try_cast(r AS INT), 999) <= 5 THEN 'strong_accept' ELSE 'strong_reject' END AS rating, label FROM (SELECT doc_id, CASE WHEN n_chars % 13 = 0 THEN 'n/a' ELSE (n_chars % 11)::VARCHAR END AS r, coalesce(nullif(trim(lang), ''), nullif(trim(source), ''), 'none') AS label FROM documents)""")
 def rating_labels(spark, d):
     """Coerced numbers with a default, and the first column that isn't blank."""
-    rating = F.coalesce(F.col("n_chars").cast("string").try_cast("int"), F.lit(999))
-    return table(spark, d, "documents").select("doc_id", (rating <= 500).alias("accept"), F.coalesce(T.first_present(F.col("lang"), F.col("source")), F.lit("none")).alias("label"))
+    said = F.when(F.col("n_chars") % 13 == 0, "n/a").otherwise((F.col("n_chars") % 11).cast("string"))
+    return table(spark, d, "documents").select("doc_id", R.rating_label(said).alias("rating"), F.coalesce(T.first_present(F.col("lang"), F.col("source")), F.lit("none")).alias("label"))
 
 
 @query("""WITH m AS (SELECT conv_id, turn, role, text, count(*) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id) AS a FROM conversations)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siltwork.functions import metrics as M
 from siltwork.functions import text as T
 from siltwork.operators import match, order, select, stats
+from siltwork.operators import retrieve as R
 from siltwork.plans.catalog import _ITEMS, conversation_pairs, query, table
 
 _STOP = ", ".join(f"'{w}'" for w in M.STOP_WORDS)
@@ -68,16 +69,20 @@ def _paired(spark, d):
 
 
 @query(f"""WITH {_PAIRED}, r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY abs(d)) AS t FROM j WHERE d <> 0),
-    s AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS p, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS m, sum(t::DOUBLE * t - 1) AS ties FROM r)
-    SELECT n, least(p, m)::DOUBLE AS statistic, round((least(p, m) - n * (n + 1) / 4.0::DOUBLE) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM s""")
+    s AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS p, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS m, sum(t::DOUBLE * t - 1) AS ties FROM r),
+    z AS (SELECT n, least(p, m)::DOUBLE AS statistic, round((least(p, m) - n * (n + 1) / 4.0::DOUBLE) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM s), x AS (SELECT *, abs(z) / sqrt(2.0::DOUBLE) AS x, 1 / (1 + 0.3275911::DOUBLE * abs(z) / sqrt(2.0::DOUBLE)) AS t FROM z)
+    SELECT n, statistic, z, round(((((1.061405429::DOUBLE * t - 1.453152027::DOUBLE) * t + 1.421413741::DOUBLE) * t - 0.284496736::DOUBLE) * t + 0.254829592::DOUBLE) * t * exp(-x * x), 4) AS p FROM x""")
 def wilcoxon_signed_rank(spark, d):
-    return stats.wilcoxon(_paired(spark, d), F.col("d")).select("n", "statistic", F.round("z", 6).alias("z"))
+    return stats.wilcoxon(_paired(spark, d), F.col("d")).select("n", "statistic", F.round("z", 6).alias("z"), F.round("p", 4).alias("p"))
 
 
 @query()
 def bootstrap_ci(spark, d):
-    """Random draws: no SQL; tests look at coverage, seeds and independence of partitions."""
-    return stats.bootstrap_interval(table(spark, d, "supplier"), F.col("s_suppkey"), F.col("s_acctbal"))
+    """Differences of the first two lines of each order. Random draws: no SQL; tests look at coverage, seeds and
+    independence of partitions."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    a, b = [rows.where(F.col("l_linenumber") == n).select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias(f"q{n}")) for n in (1, 2)]
+    return stats.bootstrap_interval(a.join(b, "k"), F.col("q2") - F.col("q1"))
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place FROM orders")
@@ -121,11 +126,10 @@ def coded_rates(spark, d):
 
 
 @query("""WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS q FROM benchmark)
-    SELECT page_id, item_id, round(len(list_intersect(q, regexp_split_to_array(lower(html), '[^a-z0-9]+'))) / sqrt(len(q)), 6) AS overlap FROM pages JOIN q ON page_id % 40 = item_id""")
+    SELECT page_id, item_id, round(len(list_intersect(q, regexp_split_to_array(lower(html), '[^a-z0-9]+'))) / sqrt(len(q)), 6) AS overlap FROM pages CROSS JOIN q WHERE len(list_intersect(q, regexp_split_to_array(lower(html), '[^a-z0-9]+'))) > 0""")
 def query_overlaps(spark, d):
-    items = table(spark, d, "benchmark").select("item_id", "text")
-    rows = table(spark, d, "pages").withColumn("item_id", F.col("page_id") % 40).join(items, "item_id")
-    return rows.select("page_id", "item_id", F.round(M.query_overlap(F.col("text"), F.col("html")), 6).alias("overlap"))
+    """Every item against every page that shares a word with it: an equi-join on distinct words, counts, and a root."""
+    return R.word_overlaps(table(spark, d, "pages"), table(spark, d, "benchmark"), "page_id", "html", "item_id", "text").withColumn("overlap", F.round("overlap", 6))
 
 
 @query("""WITH e AS (SELECT vec_id, [abs(x)::DOUBLE + 1e-3 FOR x IN embedding] AS p, [x::DOUBLE * x + 1e-3 FOR x IN embedding] AS q FROM embeddings), n AS (SELECT vec_id, [x / list_sum(p) FOR x IN p] AS p, [x / list_sum(q) FOR x IN q] AS q FROM e)

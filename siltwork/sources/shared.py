@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or the context's checkpoint folder; only on a local master a temporary one is made."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siltwork-"))
         at = spark.sparkContext.getCheckpointDir()
@@ -27,3 +28,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back; the files go when the driver ends."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)

@@ -69,12 +69,12 @@ def test_bootstrap(spark):
     r = np.random.default_rng(3)
     data = r.normal(1.0, 2.0, 400)
     rows = spark.createDataFrame([(i, float(x)) for i, x in enumerate(data)], "i int, d double")
-    ask = lambda df, seed: stats.bootstrap_interval(df, F.col("i"), F.col("d"), n_boot=2000, seed=seed).first()
+    ask = lambda df, seed: stats.bootstrap_interval(df, F.col("d"), n_boot=2000, seed=seed).first()
     a, b, c = ask(rows.repartition(3), 0), ask(rows.coalesce(1), 0), ask(rows, 1)
     assert a.low == pytest.approx(b.low) and a.high == pytest.approx(b.high) and a.low != c.low
     half = 1.96 * data.std() / 20
     assert a.low == pytest.approx(data.mean() - half, abs=0.05) and a.high == pytest.approx(data.mean() + half, abs=0.05)
-    assert stats.bootstrap_interval(rows.limit(0), F.col("i"), F.col("d"), n_boot=10).first().low is None
+    assert stats.bootstrap_interval(rows.limit(0), F.col("d"), n_boot=10).first().low is None
 
 
 def test_quotes(spark):
