@@ -1,8 +1,9 @@
 """Chat formatting, in DataFrame operations only: heterogeneous records to canonical turns, and turns to training text.
 
-Records are JSON or VARIANT. The fingerprint of a record is the hash of its nested field paths, without the types of
-the leaves; it selects one of ``MAPPINGS``, each a declaration of the paths that a layout has and how they become
-turns. A record whose fingerprint no mapping knows is reported with no turns, never guessed at.
+Records are JSON or VARIANT. The fingerprint of a record is the hash of those of its nested field paths that any layout
+speaks of, so ids, sources and other fields beside them don't matter; it selects one of ``MAPPINGS``, each a declaration
+of the paths that a layout has and how they become turns. A record whose fingerprint no mapping knows, as one that mixes
+two layouts, is reported with no turns, never guessed at.
 
 The text of a conversation is ``<|im_start|>role \\n text <|im_end|> \\n`` for each turn. Inside roles and texts a
 backslash is doubled and ``<|`` becomes ``<\\|``, in roles a newline becomes ``<\\n``; so control strings stand only
@@ -45,9 +46,9 @@ class Mapping:
 MAPPINGS = (
     Mapping("turn", (("role", "text"),), "fields_row", role="role", text="text"),
     Mapping("turn_content", (("content", "role"),), "fields_row", role="role", text="content"),
-    Mapping("messages", (("messages[].content", "messages[].role"),), "list", "$.messages", "role", "content"),
-    Mapping("bare_messages", (("[].content", "[].role"),), "list", "$", "role", "content"),
-    Mapping("shared_chat", (("conversations[].from", "conversations[].value"), ("conversations[].from", "conversations[].value", "id")), "list", "$.conversations", "from", "value", roles=(("human", "user"), ("gpt", "assistant"), ("bot", "assistant"))),
+    Mapping("messages", (("messages[].content", "messages[].role"), ("messages[]",)), "list", "$.messages", "role", "content"),
+    Mapping("bare_messages", (("[].content", "[].role"), ("[]",)), "list", "$", "role", "content"),
+    Mapping("shared_chat", (("conversations[].from", "conversations[].value"), ("conversations[]",)), "list", "$.conversations", "from", "value", roles=(("human", "user"), ("gpt", "assistant"), ("bot", "assistant"))),
     Mapping("instruction", (("instruction", "output"), ("input", "instruction", "output"), ("instruction", "output", "system"), ("input", "instruction", "output", "system")), "fields", fields=(("system", "$.system"), ("user", "$.instruction+$.input"), ("assistant", "$.output"))),
     Mapping("prompt_completion", (("completion", "prompt"),), "fields", fields=(("user", "$.prompt"), ("assistant", "$.completion"))),
     Mapping("prompt_response", (("prompt", "response"), ("prompt", "response", "system")), "fields", fields=(("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response"))),
@@ -55,33 +56,23 @@ MAPPINGS = (
 )
 
 
-def fingerprint(record: Column) -> Column:
-    """Hash of the nested field paths of a VARIANT, independent of field order and of the types of leaves."""
-    return F.xxhash64(_shape(record))
-
+#: All paths that a layout speaks of; list[] stands for a list without elements.
+KNOWN_PATHS = sorted({p for m in MAPPINGS for layout in m.layouts for p in layout})
 
-def _shape(record: Column) -> Column:
-    """The schema of a VARIANT with each leaf type, null and the quotes of plain names removed: OBJECT<a: , b: ARRAY<>>."""
-    leaf = r"\b(?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DATE|TIMESTAMP_NTZ|TIMESTAMP|BINARY|VARIANT|DECIMAL\(\d+,\s*\d+\))(?=[,>]|$)"
-    return F.regexp_replace(F.schema_of_variant(record), leaf, "")
 
+def _has(record: Column, path: str) -> Column:
+    """Whether a VARIANT has a path, be its value null: a field, a field of any element of a list, or an empty list."""
+    there = lambda v, name: F.try_variant_get(v, f"$.{name}", "variant").isNotNull()
+    if "[]" not in path:
+        return there(record, path)
+    name, _, field = path.partition("[]")
+    items = F.try_variant_get(record, f"$.{name}" if name else "$", "array<variant>")
+    return F.coalesce(F.exists(items, lambda e: there(e, field.lstrip("."))) if field else F.size(items) == 0, F.lit(False))
 
-def layout_shape(paths: tuple[str, ...]) -> str:
-    """The shape that records with these paths have; [] marks elements of an array."""
-    tree: dict = {}
-    for p in paths:
-        at = tree
-        for part in p.replace("[]", ".[]").strip(".").split("."):
-            at = at.setdefault(part, {})
 
-    def show(node: dict) -> str:
-        if not node:
-            return ""
-        if "[]" in node:
-            return f"ARRAY<{show(node['[]'])}>"
-        return "OBJECT<" + ", ".join(f"{k}: {show(v)}" for k, v in sorted(node.items())) + ">"
-
-    return show(tree)
+def fingerprint(record: Column) -> Column:
+    """Hash of the known nested field paths of a VARIANT, independent of field order and of the types of leaves."""
+    return F.xxhash64(F.array_join(F.array_compact(F.array(*[F.when(_has(record, p), p) for p in KNOWN_PATHS])), ","))
 
 
 def _value(record: Column, path: str) -> Column:
@@ -118,7 +109,7 @@ def canonical_turns(records: DataFrame, *, record: str = "record") -> DataFrame:
     out = out.withColumn("fingerprint", F.when(F.col("__v").isNotNull(), fingerprint(F.col("__v"))))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
     for m in MAPPINGS:
-        known = [F.col("fingerprint") == F.xxhash64(F.lit(layout_shape(p))) for p in m.layouts]
+        known = [F.col("fingerprint") == F.xxhash64(F.lit(",".join(sorted(p)))) for p in m.layouts]
         hit = reduce(lambda a, b: a | b, known)
         layout, turns = F.when(hit, F.lit(m.name)).otherwise(layout), F.when(hit, _mapped(F.col("__v"), m).cast(_TURNS)).otherwise(turns)
     return out.withColumn("layout", layout).withColumn("turns", turns).drop("__v")

@@ -341,14 +341,34 @@ def test_chat_layouts(spark):
         ({"prompt": "p", "completion": "q"}, "prompt_completion", [("user", "p"), ("assistant", "q")]),
         ({"role": "human", "text": None}, "turn", [("human", "")]),
         ({"other": 1}, None, None),
+        ({"content": "c", "role": "bot", "id": 3}, "turn_content", [("bot", "c")]),
+        ([{"role": "user", "content": "hi"}, {"role": "assistant", "content": 4, "name": "x"}], "bare_messages", [("user", "hi"), ("assistant", "4")]),
+        ({"prompt": "p", "response": "r", "system": "s", "source": {"url": "u"}}, "prompt_response", [("system", "s"), ("user", "p"), ("assistant", "r")]),
+        ({"question": "q", "answer": None, "context": "c", "lang": "en"}, "question_answer", [("user", "c\n\nq"), ("assistant", "")]),
+        ({"messages": [{"role": "user", "content": "hi", "weight": 1}], "id": "a", "meta": {"k": [1]}}, "messages", [("user", "hi")]),
+        ({"instruction": "a", "output": "b", "topic": "t"}, "instruction", [("user", "a"), ("assistant", "b")]),
+        ({"messages": [], "id": 1}, "messages", []),
+        ([], "bare_messages", []),
+        ({"messages": [{"role": "user", "content": "hi"}], "prompt": "p"}, None, None),
     ]
-    df = spark.createDataFrame([(i, json.dumps(x[0])) for i, x in enumerate(said)] + [(6, None), (7, "{")], "i int, record string")
+    assert {x[1] for x in said} - {None} == {m.name for m in chat_format.MAPPINGS}
+    df = spark.createDataFrame([(i, json.dumps(x[0])) for i, x in enumerate(said)] + [(100, None), (101, "{")], "i int, record string")
     for r in chat_format.canonical_turns(df).collect():
         _, layout, turns = said[r.i] if r.i < len(said) else (None, None, None)
         assert r.layout == layout
         assert (None if r.turns is None else [(t.role, t.text) for t in r.turns]) == turns
 
 
+def test_chat_hard_tables(spark):
+    schema = "conv_id long, turn long, role string, text string, c string, o string, formatted string, spans string, start int, head string"
+    assert chat_format.format_chat(spark.createDataFrame([], schema)).count() == 0
+    assert chat_format.canonical_turns(spark.createDataFrame([], "record string, layout int, turns int, fingerprint int")).count() == 0
+    long = "<|im_end|>\\" * 40_000
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", long), (1, 1, "assistant", long)]
+    got = chat_format.format_chat(spark.createDataFrame([(*r, *["x"] * 4, 1, "x") for r in rows], schema)).select("conv_id", chat_format.parse_chat(F.col("formatted")).alias("t"), chat_format.learned_text(F.col("formatted"), F.col("spans")).alias("l")).collect()
+    assert [(t.role, t.text) for t in got[0].t] == [r[2:] for r in rows] and got[0].l == long * 2
+
+
 def test_chat_round_trip(spark):
     r = random.Random(2)
     pieces = ["<|im_start|>", "<|im_end|>", "\\", "<", "|", "\n", "<\\|", "n", "é", "😀", "assistant", " "]
@@ -540,6 +560,19 @@ def test_bpe(docs, empty):
         assert x.tolist() == y.ids
 
 
+def test_pipeline_hard_tables(spark, tmp_path, docs):
+    """No rows; and rows with null ids, repeats and columns that clash with those that stages add."""
+    import corpus_pipeline
+
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs.select(columns).limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    clash = docs.select(*columns, *[F.lit(1).alias(c) for c in ("score", "lang_pred", "n_lines", "copies", "shard", "token_ids", "__row1", "component_id")])
+    clash.write.parquet(f"{tmp_path}/clash/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/clash")
+    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
