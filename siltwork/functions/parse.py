@@ -175,6 +175,13 @@ def entities(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(low(acronyms), low(phrases), low(coded), found(r"\d+\.?\d*\s*%"))))
 
 
+def bold_items(c: Column) -> Column:
+    """(category, body) of lines that start with a bold heading, numbered, bulleted or bare."""
+    line = r"(?m)^[ \t]*(?:[0-9]+[.)]|[-*])?[ \t]*\*\*([^*\n]+?):?\*\*:?[ \t]*(.*)$"
+    part = lambda i: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(line), F.lit(i))
+    return F.zip_with(part(1), part(2), lambda a, b: F.struct(a.alias("category"), b.alias("body")))
+
+
 def weakness_tags(c: Column) -> Column:
     """The tags of which the pattern occurs, in their order; other if none does."""
     t = F.coalesce(c, F.lit(""))

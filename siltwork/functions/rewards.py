@@ -176,6 +176,25 @@ def names_paper(text: Column, paper: Column, least: int = 2) -> Column:
     return F.size(F.filter(own, lambda a: F.contains(high, a))) >= least
 
 
+# Marks of a leader's texts, and the weights of a worker's alignment.
+FEEDBACK_MARKS = ("COVERAGE_GAPS", "FEEDBACK_FOR", "ADDITIONAL_WORKERS", "PRIORITY_GUIDANCE", "FINAL_ASSESSMENT")
+PLANNING_MARKS = ("SELECTED_WORKERS", "GUIDANCE_FOR", "NUM_ROUNDS", "CRITICAL_CATEGORIES")
+ALIGNMENT_WEIGHTS = {"j": 0.70, "g": 0.15, "f": 0.15}
+
+
+def marked_share(c: Column, marks: tuple[str, ...]) -> Column:
+    """The share of marks that a text holds, in any case."""
+    high = F.upper(F.coalesce(c, F.lit("")))
+    return reduce(add, [F.contains(high, F.lit(m)).cast("int") for m in marks]) / float(len(marks))
+
+
+def leader_reward(*, decision: Column, feedback: Column, planning: Column, breadth: Column, workers: Column, weights: dict[str, float]) -> Column:
+    """The weighted mean of a leader's decision, feedback, planning, breadth and thrift: three to five workers are best."""
+    thrift = F.when(workers.between(3, 5), 1.0).when(workers <= 7, 0.7).otherwise(0.5)
+    total = decision * weights["decision"] + (feedback + planning) * weights["feedback"] + breadth * weights["breadth"] + thrift * 0.5
+    return total / (weights["decision"] + 2 * weights["feedback"] + weights["breadth"] + 0.5)
+
+
 def rating_label(c: Column) -> Column:
     """A rating of 5 or less is accepted, a higher one or one that is no number isn't."""
     return F.when(F.coalesce(c.try_cast("int"), F.lit(999)) <= 5, "strong_accept").otherwise("strong_reject")

@@ -88,6 +88,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def ensured(rows, defaults: dict[str, Column]):
+    """rows with each column that they lack, by its default."""
+    return rows.withColumns({name: c for name, c in defaults.items() if name not in rows.columns})
+
+
 def let(value: Column, f) -> Column:
     """f of a value that is computed once a row, wherever f uses it: an expression inside a lambda would be computed for
     each element."""

@@ -23,6 +23,11 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     return spark.read.options(**CSV).schema(schema).csv(path)
 
 
+def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with types inferred, at the price of a second scan."""
+    return spark.read.options(**CSV).option("inferSchema", True).csv(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**{k: v for k, v in CSV.items() if k not in ("multiLine", "emptyValue")}).option("escapeQuotes", True).csv(path)
 
