@@ -87,14 +87,14 @@ def _letters(c: str):
 
 @query(f"""{_PAGE_BM25}, sp AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, page_id) <= 100), de AS ({_DENSE}),
     n AS (SELECT item_id, page_id, 0.5::DOUBLE * score / CASE WHEN max(score) OVER (PARTITION BY item_id) > 0 THEN max(score) OVER (PARTITION BY item_id) ELSE 1 END AS p FROM sp UNION ALL SELECT item_id, page_id, 0.5::DOUBLE * score FROM de),
-    f AS (SELECT item_id, page_id, round(sum(p), 6) AS score FROM n GROUP BY ALL)
+    f AS (SELECT item_id, page_id, round(sum(p), 8) AS score FROM n GROUP BY ALL)
     SELECT item_id, page_id, score FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, page_id) <= 3""")
 def hybrid_topk(spark, d):
     """The 100 best of all pages by BM25 and the 100 best by the cosine of letter counts, fused."""
     dense = R.dense_exact(table(spark, d, "pages").select("page_id", _letters("html").alias("v")), table(spark, d, "benchmark").select("item_id", _letters("text").alias("v")), key="page_id", vector="v", k=100, query="item_id")
     got = R.hybrid(dense, _pages_hits(spark, d, 100), query="item_id", key="page_id", k=1_000)
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), "page_id")
-    return got.withColumn("score", F.round("score", 6)).withColumn("place", F.row_number().over(w)).where("place <= 3").select("item_id", "page_id", "score")
+    return got.withColumn("score", F.round("score", 8)).withColumn("place", F.row_number().over(w)).where("place <= 3").select("item_id", "page_id", "score")
 
 
 @query(f"""{_PAGE_BM25}, cand AS (SELECT item_id, page_id, score / CASE WHEN max(score) OVER (PARTITION BY item_id) > 0 THEN max(score) OVER (PARTITION BY item_id) ELSE 1 END AS score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, page_id) <= 200),
