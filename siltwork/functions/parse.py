@@ -6,6 +6,8 @@ from __future__ import annotations
 import ast
 import json
 import re
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -59,6 +61,18 @@ def bullets(c: Column, over: int = 20) -> Column:
     return F.filter(F.transform(items, T.collapse_space), lambda x: F.length(x) > over)
 
 
+# The lines of a merged report.
+REPORT_MARK = r"(?:-|\*|\d+\.)"
+REPORT_INTRODUCTIONS = ("consolidated list", "limitations identified")
+REPORT_EVIDENCE = rf"(?i)^{REPORT_MARK}?\s*[*_]*Evidence[*_]*\s*:"
+REPORT_BOLD = r"^\*\*(.*?)\*\*:?$"
+REPORT_TITLE = r"^(?:####|###)\s+(.*)$"
+REPORT_INLINE = rf"^{REPORT_MARK}\s*[*_]+(.*?)[*_]+\s*:\s*(.*)$"
+REPORT_NAMED = rf"(?i)^{REPORT_MARK}\s*[*_]*Limitation[*_]*\s*:\s*(.*)$"
+REPORT_ITEM = rf"^{REPORT_MARK}\s+(.*)$"
+REPORT_EDGE = r"*:\- "
+
+
 def reference_items(c: Column, over: int = 10) -> Column:
     """Lines without their list marks that are longer than so many characters."""
     return F.filter(F.transform(lines(c), lambda x: stripped(F.regexp_replace(x, r"^\s*[-*•\d.]+\s*", ""))), lambda x: F.length(x) > over)
@@ -75,16 +89,8 @@ def report_items(c: Column) -> Column:
     category, an item after "Limitation:", a list item, or goes on with the item before; evidence and the report's
     introduction are skipped. Lines are told apart by one match each, items come from one fold over them."""
     bare = F.filter(F.transform(lines(c), lambda x: stripped(x, r"\s '\"")), lambda x: x != "")
-    mark = r"(?:-|\*|\d+\.)"
-    skipped = lambda x: (
-        F.contains(F.lower(x), F.lit("consolidated list")) | F.contains(F.lower(x), F.lit("limitations identified")) | x.rlike(rf"(?i)^{mark}?\s*[*_]*Evidence[*_]*\s*:")
-    )
-    bold = r"^\*\*(.*?)\*\*:?$"
-    title = r"^(?:####|###)\s+(.*)$"
-    inline = rf"^{mark}\s*[*_]+(.*?)[*_]+\s*:\s*(.*)$"
-    named = rf"(?i)^{mark}\s*[*_]*Limitation[*_]*\s*:\s*(.*)$"
-    item = rf"^{mark}\s+(.*)$"
-    edge = r"*:\- "
+    skipped = lambda x: reduce(or_, [F.contains(F.lower(x), F.lit(p)) for p in REPORT_INTRODUCTIONS], x.rlike(REPORT_EVIDENCE))
+    bold, title, inline, named, item, edge = REPORT_BOLD, REPORT_TITLE, REPORT_INLINE, REPORT_NAMED, REPORT_ITEM, REPORT_EDGE
 
     def told(x: Column) -> Column:
         line = lambda starts, category, body: F.struct(F.lit(starts).alias("starts"), category.alias("category"), body.alias("body"))

@@ -46,6 +46,13 @@ GENERIC = (
 )
 
 
+# What counts as a snippet, a quote, something named and something vague.
+SNIPPET = r"(?i)(?:Evidence|Quote|Span)\s*:?\s*([^.\n]{18,220}(?:\.|$))"
+QUOTED = "[\"“‘']([^\"”’']{12,200})[\"”’']"
+NAMED = r"\b\d+(?:\.\d+)?%?|\b[A-Z][A-Za-z0-9_-]{2,}\b"
+VAGUE = r"\b(some|various|several|many|things|issues|aspects)\b"
+
+
 def _own(c: Column) -> Column:
     return P.stripped(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<think>.*?</think>", " "))
 
@@ -69,7 +76,7 @@ def search_reward(c: Column) -> Column:
 def retrieve_reward(c: Column, source: Column) -> Column:
     """The share of the first six snippets that the source holds or overlaps, and how many there are."""
     t = _own(c)
-    marked = F.regexp_extract_all(t, F.lit(r"(?i)(?:Evidence|Quote|Span)\s*:?\s*([^.\n]{18,220}(?:\.|$))"), F.lit(1))
+    marked = F.regexp_extract_all(t, F.lit(SNIPPET), F.lit(1))
     plain = F.transform(F.filter(P.lines(t), lambda x: F.length(P.stripped(x)) > 18), lambda x: P.stripped(x, r" \-0-9."))
     snippets = F.when(F.size(marked) > 0, marked).otherwise(plain)
     near = M.content_words(F.substring(F.coalesce(source, F.lit("")), 1, 12_000))
@@ -81,8 +88,8 @@ def retrieve_reward(c: Column, source: Column) -> Column:
 def statement_specificity(c: Column) -> Column:
     n = F.size(F.filter(F.split(P.stripped(c), r"\s+"), lambda w: w != ""))
     length = F.when(n.between(8, 55), 0.30).when(n.between(5, 80), 0.16).otherwise(0.0)
-    named = Q.matches(c, r"\b\d+(?:\.\d+)?%?|\b[A-Z][A-Za-z0-9_-]{2,}\b") > 0
-    generic = Q.matches(F.lower(c), r"\b(some|various|several|many|things|issues|aspects)\b")
+    named = Q.matches(c, NAMED) > 0
+    generic = Q.matches(F.lower(c), VAGUE)
     return _clamped(length + 0.35 * _some(c, CONCRETE_WORDS) + 0.15 * named.cast("double") - F.least(F.lit(0.25), 0.05 * generic))
 
 
@@ -94,7 +101,7 @@ def synthesis_reward(c: Column, source: Column) -> Column:
 
     def scored(item: Column, every: Column, words: Column) -> Column:
         s, w = item["s"], item["w"]
-        quotes = F.regexp_extract_all(s, F.lit("[\"“‘']([^\"”’']{12,200})[\"”’']"), F.lit(1))
+        quotes = F.regexp_extract_all(s, F.lit(QUOTED), F.lit(1))
         by_quote = F.array_max(F.transform(quotes, lambda q: F.when(M.quote_contained(q, source), 1.0).otherwise(Q.capped(3.0 * T.jaccard(M.content_words(q), words)))))
         alike = F.coalesce(F.array_max(F.transform(F.filter(every, lambda o: o["s"] != s), lambda o: T.jaccard(w, o["w"]))), F.lit(0.0))
 
