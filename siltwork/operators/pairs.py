@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltwork.functions import metrics as M
 from siltwork.functions import text as T
 
 
@@ -49,3 +50,29 @@ def tfidf_cosine(pairs: DataFrame, ids: list[str], a: str, b: str) -> DataFrame:
     x, y = F.coalesce("x", F.lit(0)) * idf, F.coalesce("y", F.lit(0)) * idf
     sums = both.groupBy(*ids).agg(F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"))
     return pairs.select(*ids).join(sums, ids, "left").select(*ids, F.coalesce(T.safe_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))), F.lit(0.0)).alias("cosine"))
+
+
+def group_redundancy(rows: DataFrame, keys: list[str], item: str, text: str, stop_words: tuple[str, ...] = M.STOP_WORDS, over: float = 0.6) -> DataFrame:
+    """(keys, redundancy): of three items or more, the share of those of which the TF-IDF cosine to another of the group is
+    larger than over, fitted on the group. Where there are two, or no word of two characters that is no stop word, three
+    times the share of pairs that overlap by more than half in words, 1 at most. Groups are papers: their items meet on words
+    in common."""
+    ids = [*keys, item]
+    n = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    split = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) >= 2) & ~w.isin(*stop_words))
+    tf = rows.select(*ids, F.explode(split).alias("w")).groupBy(*ids, "w").agg(F.count("*").alias("tf"))
+    df = tf.groupBy(*keys, "w").agg(F.count("*").alias("df"))
+    raw = tf.join(df, [*keys, "w"]).join(n, keys).select(*ids, "w", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("x"))
+    norms = raw.groupBy(*ids).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    unit = raw.join(norms, ids).select(*ids, "w", (F.col("x") / F.col("norm")).alias("x"))
+    other = unit.select(*keys, F.col(item).alias("__other"), "w", F.col("x").alias("y"))
+    met = unit.join(other, [*keys, "w"]).where(F.col(item) != F.col("__other")).groupBy(*ids, "__other").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    near = met.groupBy(*ids).agg(F.max("s").alias("m")).groupBy(*keys).agg(F.count_if(F.col("m") > over).alias("near"))
+    known = df.select(*keys).distinct().withColumn("known", F.lit(True))
+    a = rows.select(*keys, F.col(item).alias("__a"), T.spaced_words(F.col(text)).alias("__u"))
+    b = rows.select(*keys, F.col(item).alias("__b"), T.spaced_words(F.col(text)).alias("__v"))
+    alike = a.join(b, keys).where("__a < __b").groupBy(*keys).agg(F.avg((T.jaccard(F.col("__u"), F.col("__v")) > 0.5).cast("double")).alias("alike"))
+    got = n.join(known, keys, "left").join(near, keys, "left").join(alike, keys, "left")
+    share = F.coalesce("near", F.lit(0)) / F.col("n")
+    by_words = F.least(F.lit(1.0), 3 * F.coalesce("alike", F.lit(0.0)))
+    return got.select(*keys, F.when((F.col("n") >= 3) & F.coalesce("known", F.lit(False)), share).when(F.col("n") >= 2, by_words).otherwise(0.0).alias("redundancy"))

@@ -47,10 +47,19 @@ def write_json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
 
 
-def keyed_by_file_name(spark: SparkSession, path: str, schema: StructType | str, pattern: str, name: str) -> DataFrame:
-    """JSON files with a key taken from the file's name by the first group of a pattern; others have an empty key."""
+def keyed_by_file_name(spark: SparkSession, path: str, schema: StructType | str, pattern: str, name: str, whole_path: bool = False) -> DataFrame:
+    """JSON files with a key taken from the file's name, or its whole path, by the first group of a pattern; others have an
+    empty key."""
     rows = spark.read.schema(schema).json(path)
-    return rows.withColumn(name, F.regexp_extract(F.col("_metadata.file_name"), pattern, 1))
+    return rows.withColumn(name, F.regexp_extract(F.col("_metadata.file_path" if whole_path else "_metadata.file_name"), pattern, 1))
+
+
+def first_readable(spark: SparkSession, places: list[tuple[str, Callable[[str], DataFrame]]]) -> DataFrame:
+    """The first of several (path, reader) of which the path exists."""
+    for path, read in places:
+        if exists(spark, path):
+            return read(path)
+    raise FileNotFoundError(", ".join(path for path, _ in places))
 
 
 def flattened(df: DataFrame) -> DataFrame:
@@ -104,11 +113,16 @@ def valid_pdf(content: Column, length: Column, least: int = 1024) -> Column:
     return (length >= least) & (F.substring(content, 1, 5) == F.lit(b"%PDF-"))
 
 
+def pdf_status(content: Column, length: Column) -> Column:
+    """ok, too_small or not_pdf."""
+    magic = F.substring(content, 1, 5) == F.lit(b"%PDF-")
+    return F.when(valid_pdf(content, length), "ok").when(magic, "too_small").otherwise("not_pdf")
+
+
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder with a status: ok, too_small or not_pdf."""
+    """Files of a folder with a status."""
     files = spark.read.format("binaryFile").load(path)
-    magic = F.substring("content", 1, 5) == F.lit(b"%PDF-")
-    return files.select("path", "length", F.when(valid_pdf(F.col("content"), F.col("length")), "ok").when(magic, "too_small").otherwise("not_pdf").alias("status"))
+    return files.select("path", "length", pdf_status(F.col("content"), F.col("length")).alias("status"))
 
 
 _STRINGS = ArrayType(StringType())

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from siltwork.plans import catalog, context, files, flows, inventory, parsing, quality, rewards, statistics, tables  # noqa: F401
+from siltwork.plans import catalog, context, files, flows, inventory, parsing, quality, rewards, roles, statistics, tables  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
