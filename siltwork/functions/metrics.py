@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from siltwork.functions import text as T
+from siltwork.functions.stem import stem
 
 # Words that don't count in filtered overlaps.
 STOP_WORDS = (
@@ -67,29 +68,47 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("precision", "recall", "f1")]))
-def _rouge(predicted: pd.Series, reference: pd.Series) -> pd.DataFrame:
-    rows = []
-    for p, r in zip(predicted, reference):
-        p, r = _words(p), _words(r)
-        n = common_subsequence(p, r) if p and r else 0
-        rows.append((n / len(p), n / len(r), 2 * n / (len(p) + len(r))) if n else (0.0, 0.0, 0.0))
-    return pd.DataFrame(rows, columns=["precision", "recall", "f1"], dtype="float64")
+def stemmed_words(text: str | None) -> list[str]:
+    """Words of a-z and 0-9; those of four characters or more by their stems."""
+    return [stem(w) if len(w) > 3 else w for w in _words(text)]
 
 
-@F.pandas_udf(DoubleType())
-def _meteor(predicted: pd.Series, reference: pd.Series) -> pd.Series:
-    return pd.Series([meteor_score(_words(p), _words(r)) for p, r in zip(predicted, reference)], dtype="float64")
+def _rouge(words):
+    @F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("precision", "recall", "f1")]))
+    def scores(predicted: pd.Series, reference: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, r in zip(predicted, reference):
+            p, r = words(p), words(r)
+            n = common_subsequence(p, r) if p and r else 0
+            rows.append((n / len(p), n / len(r), 2 * n / (len(p) + len(r))) if n else (0.0, 0.0, 0.0))
+        return pd.DataFrame(rows, columns=["precision", "recall", "f1"], dtype="float64")
 
+    return scores
 
-def meteor_score(hyp: list[str], ref: list[str], alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
-    """METEOR with exact words only: each word from the end of hyp meets the last free equal word of ref."""
-    free: dict[str, list[int]] = {}
-    for i, w in enumerate(ref):
-        free.setdefault(w, []).append(i)
-    met = [(i, free[w].pop()) for i, w in reversed(list(enumerate(hyp))) if free.get(w)][::-1]
+
+def _meteor(stemmed: bool):
+    @F.pandas_udf(DoubleType())
+    def scores(predicted: pd.Series, reference: pd.Series) -> pd.Series:
+        return pd.Series([meteor_score(_words(p), _words(r), stemmed=stemmed) for p, r in zip(predicted, reference)], dtype="float64")
+
+    return scores
+
+
+def meteor_score(hyp: list[str], ref: list[str], alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5, stemmed: bool = False) -> float:
+    """METEOR: each word from the end of hyp meets the last free equal word of ref; then, if stemmed, those left over meet
+    by their stems in the same way."""
+    met, left, free = [], list(enumerate(hyp)), list(enumerate(ref))
+    for form in (str, stem) if stemmed else (str,):
+        where: dict[str, list[int]] = {}
+        for j, w in free:
+            where.setdefault(form(w), []).append(j)
+        found = [(i, where[form(w)].pop()) for i, w in reversed(left) if where.get(form(w))]
+        met += found
+        own, other = {i for i, _ in found}, {j for _, j in found}
+        left, free = [x for x in left if x[0] not in own], [x for x in free if x[0] not in other]
     if not met:
         return 0.0
+    met.sort()
     m = len(met)
     precision, recall = m / len(hyp), m / len(ref)
     mean = precision * recall / (alpha * precision + (1 - alpha) * recall)
@@ -97,10 +116,23 @@ def meteor_score(hyp: list[str], ref: list[str], alpha: float = 0.9, beta: float
     return mean * (1 - gamma * (chunks / m) ** beta)
 
 
-def rouge_l(predicted: Column, reference: Column) -> Column:
-    """ROUGE-L as a struct (precision, recall, f1) over words of a-z and 0-9, unstemmed."""
-    return _rouge(predicted, reference)
+def rouge_l(predicted: Column, reference: Column, stemmed: bool = False) -> Column:
+    """ROUGE-L as a struct (precision, recall, f1) over words of a-z and 0-9, or over their stems."""
+    return _rouge(stemmed_words if stemmed else _words)(predicted, reference)
+
+
+def meteor(predicted: Column, reference: Column, stemmed: bool = False) -> Column:
+    return _meteor(stemmed)(predicted, reference)
+
+
+def greedy_cosine(predicted: Column, reference: Column) -> Column:
+    """A struct (precision, recall, f1) of two arrays of unit vectors of words, from whatever encoder: each vector counts
+    its largest cosine to the other side; 0 where a side is empty."""
 
+    def side(one: Column, other: Column) -> Column:
+        best = F.transform(one, lambda v: F.array_max(F.transform(other, lambda w: T.dot(v, w))))
+        return F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(one)
 
-def meteor(predicted: Column, reference: Column) -> Column:
-    return _meteor(predicted, reference)
+    both = (F.coalesce(F.size(predicted), F.lit(0)) > 0) & (F.coalesce(F.size(reference), F.lit(0)) > 0)
+    parts = F.struct(F.when(both, side(predicted, reference)).otherwise(0.0).alias("p"), F.when(both, side(reference, predicted)).otherwise(0.0).alias("r"))
+    return T.let(parts, lambda x: F.struct(x["p"].alias("precision"), x["r"].alias("recall"), T.harmonic(x["p"], x["r"]).alias("f1")))

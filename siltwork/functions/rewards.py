@@ -126,6 +126,11 @@ def worker_reward(search: Column, retrieve: Column, synthesis: Column) -> Column
     return F.round(_clamped(w["search"] * search + w["retrieve"] * retrieve + w["synthesize"] * synthesis), 4)
 
 
+def master_reward(synthesis: Column) -> Column:
+    """A master only synthesizes."""
+    return F.round(_clamped(synthesis), 4)
+
+
 def format_reward(c: Column) -> Column:
     """A struct (total, penalty, section, bullets): a <think> part, a section of limitations and tagged bullets in it."""
     t = F.coalesce(c, F.lit(""))

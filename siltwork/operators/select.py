@@ -115,3 +115,17 @@ def category_rates(rows: DataFrame, keys: list[str], category: str, groups: dict
     """The share of each set of category codes among rows with one."""
     known = rows.where(F.col(category).isNotNull())
     return known.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(F.col(category).isin(*codes).cast("double")).alias(name) for name, codes in groups.items()])
+
+
+def worker_outputs(samples: DataFrame, keys: list[str], turn: str, round_: str, arrival: str, output: str) -> DataFrame:
+    """(keys, search, retrieve, synthesize) of the workers of rollouts that made a hop: the last sample of each turn, and of
+    revisions the first of the latest round, where there is any, in place of the draft. Missing outputs are empty."""
+    of = lambda *kinds: F.col(turn).isin(*kinds)
+    last = lambda kind: F.max_by(output, F.when(of(kind), F.col(arrival)))
+    revised = F.max_by(F.struct(output), F.when(of("revised"), F.struct(F.coalesce(round_, F.lit(0)), -F.col(arrival))))
+    got = samples.groupBy(*keys).agg(
+        last("hop_search").alias("search"), last("hop_query").alias("retrieve"), last("hop_draft").alias("draft"), revised.alias("revised"), F.count_if(of("hop_search", "hop_query", "hop_draft")).alias("hops")
+    )
+    final = F.when(F.col("revised").isNotNull(), F.col(f"revised.{output}")).otherwise(F.col("draft"))
+    empty = F.lit("")
+    return got.where("hops > 0").select(*keys, F.coalesce("search", empty).alias("search"), F.coalesce("retrieve", empty).alias("retrieve"), F.coalesce(final, empty).alias("synthesize"))

@@ -14,9 +14,9 @@ from siltwork.plans.quality import _found, _present
 
 @query()
 def step_rewards(spark, d):
-    """Search, retrieve, synthesis and worker reward of each answer, with its question as the source (no SQL; tests)."""
+    """Search, retrieve, synthesis, worker and master reward of each answer, with its question as the source (no SQL; tests)."""
     got = conversation_pairs(spark, d).select("conv_id", "gt_id", "llm_id", R.search_reward(F.col("llm_text")).alias("search"), R.retrieve_reward(F.col("llm_text"), F.col("gt_text")).alias("retrieve"), R.synthesis_reward(F.col("llm_text"), F.col("gt_text")).alias("synthesize"))
-    return got.withColumn("worker", R.worker_reward(F.col("search"), F.col("retrieve"), F.col("synthesize")))
+    return got.withColumn("worker", R.worker_reward(F.col("search"), F.col("retrieve"), F.col("synthesize"))).withColumn("master", R.master_reward(F.col("synthesize")))
 
 
 @query(f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low FROM documents)

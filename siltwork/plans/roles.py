@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltwork.functions import metrics as M
+from siltwork.functions import rewards as R
 from siltwork.functions import roles as A
 from siltwork.operators import pairs as P
 from siltwork.operators import retrieve as RT
+from siltwork.operators import rule_score as RS
+from siltwork.operators import select as SEL
 from siltwork.plans.catalog import ORACLE_SQL, conversation_pairs, query, table
 from siltwork.sources import files as S
 from siltwork.sources.shared import fresh_path
@@ -183,3 +186,56 @@ def first_readable_source(spark, d):
     S.write_json_lines(table(spark, d, "labels").select("doc_id", F.col("quality").cast("long").alias("quality")), at)
     schema = "doc_id long, quality long"
     return S.first_readable(spark, [(fresh_path(spark, "missing"), lambda p: S.read_csv(spark, p, schema)), (at, lambda p: S.read_json_lines(spark, p, schema))])
+
+
+@query("""WITH u AS (SELECT vec_id, vec_id // 20 AS paper, vec_id % 2 = 0 AS said, [x / sqrt(list_dot_product(e, e)) FOR x IN e] AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
+    s AS (SELECT a.paper, a.vec_id AS x, b.vec_id AS y, list_dot_product(a.v, b.v) AS c FROM u a JOIN u b ON a.paper = b.paper AND a.said AND NOT b.said),
+    p AS (SELECT paper, avg(m) AS p FROM (SELECT paper, x, max(c) AS m FROM s GROUP BY ALL) GROUP BY 1), r AS (SELECT paper, avg(m) AS r FROM (SELECT paper, y, max(c) AS m FROM s GROUP BY ALL) GROUP BY 1), k AS (SELECT DISTINCT paper FROM u)
+    SELECT paper, round(coalesce(p, 0), 6) AS precision, round(coalesce(r, 0), 6) AS recall, round(coalesce(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0 END, 0), 6) AS f1 FROM k LEFT JOIN p USING (paper) LEFT JOIN r USING (paper)""")
+def greedy_cosine_f1(spark, d):
+    """Two lists of word vectors of each paper matched greedily by cosine."""
+    e = F.col("embedding").cast("array<double>")
+    v = F.transform(e, lambda x: x / F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, y: a + y * y)))
+    rows = table(spark, d, "embeddings").select(F.expr("vec_id div 20").alias("paper"), (F.col("vec_id") % 2 == 0).alias("said"), v.alias("v"))
+    lists = rows.groupBy("paper").agg(F.collect_list(F.when(F.col("said"), F.col("v"))).alias("a"), F.collect_list(F.when(~F.col("said"), F.col("v"))).alias("b"))
+    got = lists.select("paper", M.greedy_cosine(F.col("a"), F.col("b")).alias("x"))
+    return got.select("paper", *[F.round(f"x.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def _toy_encoder(texts: list[str]) -> list[list[float]]:
+    """Lengths and letters a; it refuses texts of an odd length, and batches that hold one."""
+    if any(len(t) % 2 for t in texts):
+        raise ValueError("odd length")
+    return [[float(len(t)), float(t.count("a"))] for t in texts]
+
+
+@query("""SELECT conv_id, turn, length(text)::DOUBLE AS size, (length(text) - length(replace(text, 'a', '')))::DOUBLE AS a FROM conversations WHERE text IS NOT NULL AND length(text) % 2 = 0""")
+def encoded_items(spark, d):
+    """Texts through an encoder, one by one where a batch fails; items that it refuses are dropped."""
+    got = RT.encoded(table(spark, d, "conversations").select("conv_id", "turn", "text"), "text", _toy_encoder).where("embedding IS NOT NULL")
+    return got.select("conv_id", "turn", F.col("embedding")[0].alias("size"), F.col("embedding")[1].alias("a"))
+
+
+@query("""WITH s AS (SELECT user_id, event_id AS arrival, event_id % 3 AS round, event_type, CASE event_id % 5 WHEN 0 THEN 'hop_search' WHEN 1 THEN 'hop_query' WHEN 2 THEN 'hop_draft' WHEN 3 THEN 'revised' ELSE 'final' END AS turn, event_type || '-' || event_id AS output FROM events),
+    l AS (SELECT user_id, event_type, turn, arg_max(output, arrival) AS o FROM s WHERE turn LIKE 'hop%' GROUP BY ALL), r AS (SELECT user_id, event_type, output AS o FROM s WHERE turn = 'revised' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY round DESC, arrival) = 1),
+    k AS (SELECT user_id, event_type, any_value(o) FILTER (WHERE turn = 'hop_search') AS a, any_value(o) FILTER (WHERE turn = 'hop_query') AS b, any_value(o) FILTER (WHERE turn = 'hop_draft') AS c FROM l GROUP BY ALL)
+    SELECT k.user_id, k.event_type, coalesce(a, '') AS search, coalesce(b, '') AS retrieve, coalesce(r.o, c, '') AS synthesize FROM k LEFT JOIN r ON k.user_id IS NOT DISTINCT FROM r.user_id AND k.event_type IS NOT DISTINCT FROM r.event_type""")
+def worker_outputs(spark, d):
+    """What each worker of a rollout searched, retrieved and finally said."""
+    c = F.col
+    kind = F.element_at(F.array(*map(F.lit, ("hop_search", "hop_query", "hop_draft", "revised", "final"))), (c("event_id") % 5 + 1).cast("int"))
+    rows = table(spark, d, "events").select("user_id", "event_type", c("event_id").alias("arrival"), (c("event_id") % 3).alias("round"), kind.alias("turn"), F.concat("event_type", F.lit("-"), c("event_id").cast("string")).alias("output"))
+    return SEL.worker_outputs(rows, ["user_id", "event_type"], "turn", "round", "arrival", "output")
+
+
+@query()
+def stepwise_selection(spark, d):
+    """Answers scored by their steps and by their likeness to the references, the best of each paper for fine-tuning and best
+    and worst as a pair (step scores and ROUGE have no SQL; tests hold the parts)."""
+    pairs = conversation_pairs(spark, d)
+    step = R.worker_reward(R.search_reward(c := F.col("llm_text")), R.retrieve_reward(c, F.col("gt_text")), R.synthesis_reward(c, F.col("gt_text")))
+    scored = pairs.groupBy("conv_id", "llm_id").agg(F.max("llm_text").alias("llm_text"), F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("gt_id", "gt_text"))), lambda x: x["gt_text"])).alias("gt_text")).where("trim(llm_text) <> ''")
+    scored = scored.withColumn("steps", step).withColumn("similarity", M.rouge_l(F.col("llm_text"), F.col("gt_text"), stemmed=True)["f1"])
+    scored = RS.blended(scored, {"steps": 0.5, "similarity": 0.5}, "score").withColumn("score", F.round("score", 4))
+    best = SEL.top_k(scored, ["conv_id"], "score", "llm_id", 1).where("score >= 0.05").select("conv_id", F.col("llm_id").alias("best"), "score")
+    return best.join(SEL.best_worst(scored, ["conv_id"], "score", "llm_id", 0.05).select("conv_id", "chosen", "rejected", F.round("score_gap", 4).alias("score_gap")), "conv_id", "left")

@@ -54,9 +54,14 @@ def greedy_match_f1(spark, d):
 
 @query()
 def rouge_meteor(spark, d):
-    """ROUGE-L and METEOR of each answer against each question (no SQL; tests hold them against plain loops)."""
-    got = conversation_pairs(spark, d).withColumn("r", M.rouge_l(F.col("llm_text"), F.col("gt_text")))
-    return got.select("conv_id", "gt_id", "llm_id", *[F.round(f"r.{c}", 6).alias(f"rouge_{c}") for c in ("precision", "recall", "f1")], F.round(M.meteor(F.col("llm_text"), F.col("gt_text")), 6).alias("meteor"))
+    """ROUGE-L and METEOR of each answer against each question, by words and by stems (no SQL; tests hold them against plain
+    loops)."""
+    a, b = F.col("llm_text"), F.col("gt_text")
+    got = conversation_pairs(spark, d).withColumn("r", M.rouge_l(a, b)).withColumn("s", M.rouge_l(a, b, stemmed=True))
+    return got.select(
+        "conv_id", "gt_id", "llm_id", *[F.round(f"r.{c}", 6).alias(f"rouge_{c}") for c in ("precision", "recall", "f1")], F.round("s.f1", 6).alias("rouge_stemmed"),
+        F.round(M.meteor(a, b), 6).alias("meteor"), F.round(M.meteor(a, b, stemmed=True), 6).alias("meteor_stemmed"),
+    )
 
 
 _PAIRED = "j AS (SELECT a.l_orderkey AS k, round(b.l_extendedprice - a.l_extendedprice, 2) AS d FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2)"

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltwork.functions import metrics as M
+from siltwork.functions.stem import stem
 from siltwork.operators import match, order, stats
 
 
@@ -34,6 +35,29 @@ def test_rouge_and_meteor(spark):
     assert all(g.m == g.r.f1 == 0.0 for g in got[1:])
 
 
+def test_stems():
+    """Examples of the published description."""
+    said = "caresses caress ponies poni cats cat feed feed agreed agre motoring motor hopping hop falling fall filing file happy happi relational relat valenci valenc digitizer digit vietnamization vietnam operator oper hopefulness hope sensibiliti sensibl triplicate triplic electriciti electr revival reviv airliner airlin replacement replac adoption adopt bowdlerize bowdler probate probat rate rate controll control roll roll dying die died die".split()
+    assert [stem(w) for w in said[::2]] == said[1::2]
+
+
+def test_stemmed_metrics(spark):
+    rows = spark.createDataFrame([("Models generalized badly", "the model generalizes bad models"), (None, "x")], "p string, r string")
+    got = rows.select(M.rouge_l(F.col("p"), F.col("r"), stemmed=True).alias("r"), M.meteor(F.col("p"), F.col("r"), stemmed=True).alias("m")).collect()
+    # model general bad(li) against the model general bad model: two words in order
+    assert (got[0].r.precision, got[0].r.recall) == (pytest.approx(2 / 3), pytest.approx(2 / 5)) and got[1].m == 0.0
+    # models meets the equal last word, generalized the stem before it: two chunks of two matches
+    p, r = 2 / 3, 2 / 5
+    assert got[0].m == pytest.approx(p * r / (0.9 * p + 0.1 * r) * 0.5)
+
+
+def test_greedy_cosine_of_nothing(spark):
+    none = F.lit(None).cast("array<array<double>>")
+    one = F.array(F.array(F.lit(1.0), F.lit(0.0)))
+    got = spark.range(1).select(M.greedy_cosine(none, one)["f1"].alias("a"), M.greedy_cosine(one, F.array().cast("array<array<double>>"))["f1"].alias("b"), M.greedy_cosine(one, one)["f1"].alias("c")).first()
+    assert tuple(got) == (0.0, 0.0, 1.0)
+
+
 def test_greedy_matches(spark):
     r = random.Random(2)
     rows = [(k, a, b, round(r.random(), 1)) for k in range(5) for a in range(6) for b in range(5)]
