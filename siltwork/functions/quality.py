@@ -3,6 +3,7 @@ sequence-matcher ratios need Arrow. Null text counts as empty. Patterns use ASCI
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 from functools import reduce
 from operator import add
@@ -100,8 +101,17 @@ def occurrences(c: Column, phrases: tuple[str, ...]) -> Column:
     return reduce(add, [((F.length(low) - F.length(F.replace(low, F.lit(p), F.lit("")))) / len(p)).cast("int") for p in phrases])
 
 
+def bounded(pattern: str) -> str:
+    """The pattern with its word boundaries by Unicode letters and digits. Before a plain letter the look back is made only
+    where that letter stands, and after one a single look ahead is enough."""
+    inside = r"[\p{L}\p{N}_]"
+    pattern = re.sub(r"\\b([A-Za-z])", lambda m: f"{m[1]}(?<!{inside}.)", pattern)
+    pattern = re.sub(r"(?<!\\)([A-Za-z])\\b", lambda m: f"{m[1]}(?!{inside})", pattern)
+    return pattern.replace(r"\b", BOUNDARY)
+
+
 def matches(c: Column, *patterns: str) -> Column:
-    return reduce(add, [F.regexp_count(_text(c), F.lit(p.replace(r"\b", BOUNDARY))) for p in patterns])
+    return reduce(add, [F.regexp_count(_text(c), F.lit(bounded(p))) for p in patterns])
 
 
 def pieces(c: Column, pattern: str, over: int) -> Column:

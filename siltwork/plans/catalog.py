@@ -46,8 +46,15 @@ _METRICS = _ITEMS + """,
     metrics AS (SELECT *, CASE WHEN recall + precision > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0 END AS f1 FROM shares)"""
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """A scan with fewer splits than there are cores, dealt out by a key before costly expressions; a larger one, which
+    keeps all cores busy, as it is, without a shuffle. Only for rows that come straight from a scan."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def conversation_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations")
+    rows = spread(table(spark, d, "conversations"), "conv_id")
     refs = rows.where("role = 'user'").select("conv_id", F.col("turn").alias("gt_id"), F.col("text").alias("gt_text"))
     gens = rows.where("role = 'assistant'").select("conv_id", F.col("turn").alias("llm_id"), F.col("text").alias("llm_text"))
     return P.item_pairs(refs, gens, "conv_id")

@@ -9,7 +9,7 @@ from siltwork.functions import parse as P
 from siltwork.functions import rewards as R
 from siltwork.functions import text as T
 from siltwork.operators import retrieve as RT
-from siltwork.plans.catalog import query, table
+from siltwork.plans.catalog import query, spread, table
 from siltwork.plans.parsing import _PAGE_BM25, _pages_hits
 from siltwork.sources import files as S
 from siltwork.sources.shared import fresh_path
@@ -157,7 +157,7 @@ def repr_cells(spark, d):
 def format_rewards(spark, d):
     """A <think> part always, a section with one tagged bullet in every second answer; before the reward is clamped."""
     said = F.concat(F.lit("<think>x</think>\n"), F.when(F.col("doc_id") % 2 == 0, F.lit("## Limitations\n- [Major] one\n## End\n")).otherwise(F.lit("none")))
-    got = table(spark, d, "documents").select("doc_id", R.format_reward(said).alias("r"))
+    got = spread(table(spark, d, "documents"), "doc_id").select("doc_id", R.format_reward(said).alias("r"))
     return got.select("doc_id", (0.5 * F.col("r.section") + 0.5 * F.col("r.bullets") + F.col("r.penalty")).alias("raw"))
 
 

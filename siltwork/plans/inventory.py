@@ -12,7 +12,7 @@ from siltwork.operators import match
 from siltwork.operators import retrieve as RT
 from siltwork.operators import rule_score as RS
 from siltwork.operators.order import with_rank
-from siltwork.plans.catalog import _ITEMS, conversation_pairs, query, table
+from siltwork.plans.catalog import _ITEMS, conversation_pairs, query, spread, table
 from siltwork.plans.parsing import _DENSE, _PAGE_BM25, _letters, _pages_hits
 from siltwork.sources import files as S
 from siltwork.sources.shared import fresh_path, materialize
@@ -193,7 +193,7 @@ def bold_items(spark, d):
 @query()
 def entity_counts(spark, d):
     """Entities of each text (look-around has no SQL form; tests hold them against Python)."""
-    return table(spark, d, "documents").select("doc_id", F.size(P.entities(F.col("text"))).alias("n_entities"))
+    return spread(table(spark, d, "documents"), "doc_id").select("doc_id", F.size(P.entities(F.col("text"))).alias("n_entities"))
 
 
 @query("""SELECT item_id, 'Paper ' || item_id AS title, 'An abstract.' AS abstract, 1 AS n_sections FROM benchmark""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltwork.functions import metrics as M
 from siltwork.functions import parse as P
 from siltwork.operators import retrieve as R
-from siltwork.plans.catalog import ORACLE_SQL, query, table
+from siltwork.plans.catalog import ORACLE_SQL, query, spread, table
 
 _S = "[ \\t-\\r]"
 _STRIP = lambda x: f"regexp_replace({x}, '^{_S}+|{_S}+$', '', 'g')"
@@ -32,7 +32,7 @@ def numbered_lines(spark, d):
 def report_items(spark, d):
     """The report grammar over all documents (no SQL; tests hold it against a loop over lines)."""
     items = P.report_items(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", items.alias("i")).select("doc_id", F.size("i").alias("n_items"), F.size(F.array_distinct(F.transform("i", lambda x: x["category"]))).alias("n_categories"), F.md5(F.to_json("i")).alias("items_md5"))
+    return spread(table(spark, d, "documents"), "doc_id").select("doc_id", items.alias("i")).select("doc_id", F.size("i").alias("n_items"), F.size(F.array_distinct(F.transform("i", lambda x: x["category"]))).alias("n_categories"), F.md5(F.to_json("i")).alias("items_md5"))
 
 
 _TAGS = ", ".join(f"CASE WHEN regexp_matches(t, '(?i){p}') THEN '{tag}' END" for tag, p in P.WEAKNESSES.items())
@@ -41,7 +41,7 @@ _TAGS = ", ".join(f"CASE WHEN regexp_matches(t, '(?i){p}') THEN '{tag}' END" for
 @query(f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), g AS (SELECT doc_id, list_filter([{_TAGS}], lambda x: x IS NOT NULL) AS g FROM t)
     SELECT doc_id, CASE WHEN len(g) > 0 THEN array_to_string(g, ',') ELSE 'other' END AS tags FROM g""")
 def weakness_tags(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(P.weakness_tags(F.col("text")), ",").alias("tags"))
+    return spread(table(spark, d, "documents"), "doc_id").select("doc_id", F.array_join(P.weakness_tags(F.col("text")), ",").alias("tags"))
 
 
 _HITS = ["(" + " + ".join(f"contains(t, '{k}')::INT" for k in keys) + ")" for keys in P.SPECIALTIES.values()]
@@ -51,7 +51,7 @@ _LONG = " UNION ALL ".join(f"SELECT doc_id, {i} AS i, '{name}' AS name, {h} AS n
 @query(f"""WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), s AS ({_LONG})
     SELECT doc_id, CASE WHEN n > 0 THEN name ELSE 'other' END AS specialty FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) = 1""")
 def specialties(spark, d):
-    return table(spark, d, "documents").select("doc_id", P.specialty(F.col("text")).alias("specialty"))
+    return spread(table(spark, d, "documents"), "doc_id").select("doc_id", P.specialty(F.col("text")).alias("specialty"))
 
 
 @query("""SELECT event_id, try_cast(json_extract_string(props, '$.page') AS INT) AS page FROM events""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltwork.functions import quality as Q
 from siltwork.operators import rule_score as RS
-from siltwork.plans.catalog import conversation_pairs, query, table
+from siltwork.plans.catalog import conversation_pairs, query, spread, table
 
 
 def _present(phrases, c="low"):
@@ -35,7 +35,7 @@ _BASE = f"""t AS (SELECT doc_id, coalesce(text, '') AS text, lower(coalesce(text
 def rule_phrase_scores(spark, d):
     t = F.col("text")
     six = {"hedging": Q.hedging, "specificity": Q.specificity, "catastrophizing": Q.catastrophizing, "checklist": Q.checklist, "overriding": Q.overriding, "praise_share": Q.praise_share, "unclear_share": Q.unclear_share}
-    return table(spark, d, "documents").select("doc_id", Q.n_points(t).cast("long").alias("points"), *[F.round(f(t), 6).alias(n) for n, f in six.items()])
+    return spread(table(spark, d, "documents"), "doc_id").select("doc_id", Q.n_points(t).cast("long").alias("points"), *[F.round(f(t), 6).alias(n) for n, f in six.items()])
 
 
 _CRUTCH = " + ".join(f"((length(low) - length(replace(low, '{p}', ''))) // {len(p)})" for p in Q.CRUTCH)
@@ -49,7 +49,7 @@ _STRIP = lambda x: f"regexp_replace({x}, '^[ \\t-\\r]+|[ \\t-\\r]+$', '', 'g')"
 def rule_formulaic(spark, d):
     t = F.col("text")
     points = F.size(Q.pieces(t, r"\n\s*\n|\n\*\*\[|\n\*\*[A-Z]|\n\d+\.|\n-\s|\n\*\s", 20))
-    return table(spark, d, "documents").select("doc_id", points.cast("long").alias("points"), F.round(Q.formulaic(t), 6).alias("formulaic"))
+    return spread(table(spark, d, "documents"), "doc_id").select("doc_id", points.cast("long").alias("points"), F.round(Q.formulaic(t), 6).alias("formulaic"))
 
 
 @query()

@@ -8,7 +8,7 @@ from siltwork.functions import quality as Q
 from siltwork.functions import rewards as R
 from siltwork.functions import text as T
 from siltwork.operators import select as S
-from siltwork.plans.catalog import conversation_pairs, query, table
+from siltwork.plans.catalog import conversation_pairs, query, spread, table
 from siltwork.plans.quality import _found, _present
 
 
@@ -26,7 +26,7 @@ def step_rewards(spark, d):
         {" + ".join(f"regexp_matches(text, '(?i){p}')::INT" for p in R.GENERIC)} AS generic, {_present(R.SOURCE_WORDS)} AS source_words FROM t""")
 def structure_and_template(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.round(R.structure_score(t, t), 6).alias("structure"), R.generic_phrases(t).alias("generic"), Q.present(t, R.SOURCE_WORDS).alias("source_words"))
+    return spread(table(spark, d, "documents"), "doc_id").select("doc_id", F.round(R.structure_score(t, t), 6).alias("structure"), R.generic_phrases(t).alias("generic"), Q.present(t, R.SOURCE_WORDS).alias("source_words"))
 
 
 @query("""SELECT o_orderkey, n, round(CASE WHEN n < 3 THEN least((3 - n) / 3.0::DOUBLE, 1) WHEN n > 20 THEN least(ln(1.0::DOUBLE + n - 20) / ln(21.0::DOUBLE), 1) ELSE 0 END, 6) AS penalty FROM (SELECT l_orderkey AS o_orderkey, count(*) * 4 - 3 AS n FROM lineitem GROUP BY 1)""")

@@ -11,7 +11,7 @@ from siltwork.operators import pairs as P
 from siltwork.operators import retrieve as RT
 from siltwork.operators import rule_score as RS
 from siltwork.operators import select as SEL
-from siltwork.plans.catalog import ORACLE_SQL, conversation_pairs, query, table
+from siltwork.plans.catalog import ORACLE_SQL, conversation_pairs, query, spread, table
 from siltwork.sources import files as S
 from siltwork.sources.shared import fresh_path
 
@@ -93,7 +93,7 @@ _REVIEW_TEXT = "'Novelty Score: 3. Evidence: compared to ' || coalesce(text, '')
 def review_steps(spark, d):
     """Scores of the four steps of a claim-based review; similarities stand in columns."""
     labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("g"))
-    rows = table(spark, d, "documents").select("doc_id", "text", "source").join(labels, "doc_id", "left").withColumn("g", F.coalesce("g", F.lit(0.0))).withColumn("t", F.expr(_REVIEW_TEXT))
+    rows = spread(table(spark, d, "documents"), "doc_id").select("doc_id", "text", "source").join(labels, "doc_id", "left").withColumn("g", F.coalesce("g", F.lit(0.0))).withColumn("t", F.expr(_REVIEW_TEXT))
     g, none, half = F.col("g"), F.lit(None).cast("string"), F.lit(0.5)
     claim = lambda text, section, quote: F.struct(text.alias("claim"), F.lit(section).alias("section"), F.lit("x").alias("type"), quote.alias("evidence_quote"))
     claims = F.array(claim(F.col("text"), "Abstract", none), claim(F.lit("12 % better than the model"), "Annex", F.lit("q")))

@@ -1,5 +1,6 @@
 """Rule scores on small texts of which the score is known."""
 
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siltwork.functions import quality as Q
 from siltwork.operators import rule_score as RS
+from siltwork.plans.catalog import spread
 
 LIST = "**Novelty**\n* The idea is unclear and it may not generalize at all.\n* The idea is unclear and may not be new to anyone.\n**Clarity**\n* Table 3 is unclear in Section 4 of the paper.\n"
 
@@ -54,3 +56,18 @@ def test_blends_skip_missing_parts(spark):
     rows = spark.createDataFrame([(5.0, None), (1.0, 5.0), (None, None)], "a double, b double")
     got = RS.rescaled_judge(rows, {"a": 0.6, "b": 0.4}, "j").collect()
     assert [None if r.j is None else round(r.j, 6) for r in got] == [1.0, 0.4, None]
+
+
+def test_word_boundaries(spark):
+    texts = ["unclear", "Unclear, _unclear unclear_ éunclear unclearé", "xunclear unclear-x", "\nunclear\nUNCLEAR", "ResNet ResNetx AlexNet", "NAS NASA xNAS", "A b a", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in (r"(?i)\bunclear\b", r"[A-Z][a-z]+Net\b", r"NAS\b", r"\bA\b", r"\b(some|b)\b", r"\b\d+"):
+        got = [r.n for r in rows.select(Q.matches(F.col("t"), p).alias("n")).collect()]
+        assert got == [len(re.findall(p, t or "")) for t in texts], p
+
+
+def test_spread_keeps_rows(spark):
+    one = spark.range(50).coalesce(1)
+    assert sorted(r.id for r in spread(one, "id").collect()) == list(range(50)) and spread(one, "id").rdd.getNumPartitions() > 1
+    many = spark.range(0, 50, 1, 64)
+    assert spread(many, "id") is many
