@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siltwork.functions import parse as P
 from siltwork.functions import quality as Q
+from siltwork.functions import text as T
 
 # Weights, bounds, words and patterns of role rewards and step scores.
 WORKER_WEIGHTS = {"f1": 0.40, "grounding": 0.15, "specificity": 0.10, "severity": 0.05, "rouge": 0.10, "length_penalty": -0.10, "redundancy_penalty": -0.10}
@@ -49,6 +50,24 @@ SCOPE_WEIGHTS = {"format": 0.20, "grounding": 0.25, "completeness": 0.30, "speci
 LIMITATION_WEIGHTS = {"specificity": 0.20, "grounding": 0.20, "non_redundancy": 0.15, "gt_coverage": 0.20, "soundness": 0.25}
 REVIEW_WEIGHTS = {"claims": 0.15, "novelty": 0.25, "scope": 0.25, "limitations": 0.35}
 SHORTEST_STEP = 50
+LEAST_OWN_WORDS = 0.15
+PLAIN_WORDS = (
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "shall", "can", "need", "dare", "ought",
+    "used", "to", "of", "in", "for", "on", "with", "at", "by", "from",
+    "as", "into", "through", "during", "before", "after", "above", "below",
+    "between", "out", "off", "over", "under", "again", "further", "then",
+    "once", "and", "but", "or", "nor", "not", "no", "so", "than", "too",
+    "very", "just", "about", "up", "down", "each", "every", "all", "any",
+    "few", "more", "most", "other", "some", "such", "only", "own", "same",
+    "that", "this", "these", "those", "it", "its", "he", "she", "they",
+    "them", "their", "we", "our", "you", "your", "which", "what", "who",
+    "whom", "how", "when", "where", "why", "if", "because", "while",
+    "paper", "study", "work", "research", "method", "approach", "model",
+    "results", "data", "analysis", "experiment", "also", "however",
+    "limitation", "lack", "missing", "insufficient", "limited", "without",
+)
 
 
 def _clamped(c: Column) -> Column:
@@ -86,6 +105,22 @@ def item_list_f1(matched: Column, novel: Column, n_pred: Column, n_gt: Column, v
     return F.when(n_pred == 0, 0.0).otherwise(F.when(n_gt > 0, f).otherwise(precision) * (0.5 + 0.5 * verified))
 
 
+def boilerplate_share(items: Column, paper: Column) -> Column:
+    """The share of items of which the paper holds few words of four letters or more, plain ones aside, or that have none;
+    0.5 without items or a paper."""
+
+    def share(x: Column) -> Column:
+        def plain(item: Column) -> Column:
+            every = F.regexp_extract_all(F.lower(item), F.lit("[a-z]+"), F.lit(0))
+            own = F.filter(every, lambda w: (F.length(w) > 3) & ~w.isin(*PLAIN_WORDS))
+            return T.let(own, lambda ws: (F.size(ws) == 0) | (F.size(F.filter(ws, lambda w: F.contains(x["low"], w))) / F.size(ws) < LEAST_OWN_WORDS))
+
+        return F.size(F.filter(x["items"], plain)) / F.size(x["items"])
+
+    known = (F.coalesce(F.size(items), F.lit(0)) > 0) & (F.coalesce(paper, F.lit("")) != "")
+    return F.when(known, T.let(F.struct(items.alias("items"), F.lower(paper).alias("low")), share)).otherwise(0.5)
+
+
 def feedback(initial: Column, revised: Column, quality: Column) -> Column:
     """What feedback is worth, as a struct (delta, room, composite): what it improved, by itself and against the room
     there was, and its own quality."""

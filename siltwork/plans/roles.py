@@ -52,6 +52,21 @@ def leader_handoffs(spark, d):
     return got.select("conv_id", "turn", F.round("h.coverage", 6).alias("coverage"), F.round("h.structure", 6).alias("structure"), F.round("h.composite", 6).alias("handoff"))
 
 
+_PLAIN = ", ".join(f"'{w}'" for w in A.PLAIN_WORDS)
+
+
+@query(f"""WITH i AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda w: length(w) > 3 AND w NOT IN ({_PLAIN})) AS ws FROM conversations WHERE role = 'assistant'),
+    p AS (SELECT conv_id, lower(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS low FROM conversations WHERE role = 'user' GROUP BY 1),
+    b AS (SELECT conv_id, avg((len(ws) = 0 OR len(list_filter(ws, lambda w: contains(low, w))) / greatest(len(ws), 1)::DOUBLE < 0.15)::INT) AS s FROM i JOIN p USING (conv_id) WHERE low <> '' GROUP BY 1)
+    SELECT c.conv_id, round(coalesce(s, 0.5), 6) AS boilerplate FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN b USING (conv_id)""")
+def boilerplate_shares(spark, d):
+    """How many answers of each conversation share hardly any word with its questions."""
+    text = F.coalesce("text", F.lit(""))
+    lists = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.when(F.col("role") == "assistant", text)).alias("items"), F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", text.alias("t"))))).alias("u"))
+    paper = F.array_join(F.transform("u", lambda x: x["t"]), "\n")
+    return lists.select("conv_id", F.round(A.boilerplate_share(F.col("items"), paper), 6).alias("boilerplate"))
+
+
 _ROLE = "experimental_evaluation"
 _sql_has = lambda c, p: f"regexp_matches({c}, '(?i){p}')::INT"
 _sql_words = lambda c: f"len(list_filter(regexp_split_to_array({c}, '\\s+'), lambda z: z <> ''))"

@@ -103,3 +103,10 @@ def test_dense_apart_with_zeros_and_ties(spark):
             near = sorted((-round(float(unit(v) @ unit(w)), 6), k) for k, h, w in rows if any(v) and any(w) and k != q and not (apart and g == h))
             want += [(q, i + 1, k, -s) for i, (s, k) in enumerate(near[:4])]
         assert [x[:3] for x in got] == [x[:3] for x in want] and [x[3] for x in got] == pytest.approx([x[3] for x in want])
+
+
+def test_boilerplate(spark):
+    items = F.array(F.lit("Transformers overfit graphs"), F.lit("the paper is limited"), F.lit("nothing shared whatsoever"), F.lit(""))
+    none = F.lit(None).cast("array<string>")
+    got = spark.range(1).select(A.boilerplate_share(items, F.lit("TRANSFORMERS on things")).alias("a"), A.boilerplate_share(items, F.lit("")).alias("b"), A.boilerplate_share(none, F.lit("x")).alias("c")).first()
+    assert tuple(got) == (0.75, 0.5, 0.5)
