@@ -19,25 +19,31 @@ families. Each family then meets once with its tokens, in a tree of its own, who
 Documents with equal sets are one set throughout. A group larger than ``GROUP_ROWS`` is cut into blocks: block 0 against
 each block first; what then stands outside of the group's largest component against every block, in as many tasks as
 there are pairs of blocks, each of bounded memory. So every linked pair is found, whatever the size of a group.
+
+Keys, nodes and pairs of blocks are worked off in passes, each a part of the hashed keys, so that a shuffle holds a part of
+them at a time, and bitmaps and tokens meet their sets within a pass only. Tables go as soon as they have been used.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, materialize, small_side
+from .common import BROADCAST_ROWS, Scratch, give_back, materialize, small_side
 
 SPREAD = 1.5
 FAN_OUT = 64
 #: Tokens below which a region says little.
 WEAK = 2
 GROUP_ROWS = 8_192
+#: A pass shuffles a PASSES-th part of all rows, or so many: of keys or of sets in nodes, and of sets with their tokens.
+PASSES, PASS_ROWS, TOKEN_ROWS = 4, 500_000, 50_000
 BATCH_CHARS = 1_500_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -247,18 +253,18 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int, levels: list[
     return docs.select(F.col(key).alias("id"), F.col(text).alias("t"), *carry).mapInArrow(work, f"id {docs.schema[key].dataType.simpleString()}" + (f", {kinds}" if kinds else "") + ", n long, h long, bits binary, keys array<long>")
 
 
-def min_labels(edges: DataFrame, name: str) -> DataFrame:
+def min_labels(edges: DataFrame, name: str, made: Scratch) -> DataFrame:
     """Connected components of (node, hub) edges: (node, label), the smallest node of each component.
 
     Hubs and nodes pass their smallest label to each other; labels then jump to the label of their label. Rounds
     go on until nothing changes. Nothing leaves the executors but a count.
     """
-    labels = materialize(edges.groupBy("node").agg(F.min("node").alias("label")), f"{name}-labels")
+    labels = made(edges.groupBy("node").agg(F.min("node").alias("label")), f"{name}-labels")
     while True:
         hub = edges.join(labels, "node").groupBy("hub").agg(F.min("label").alias("least"))
         heard = edges.join(hub, "hub").groupBy("node").agg(F.min("least").alias("least"))
         jump = labels.select(F.col("node").alias("least"), F.col("label").alias("further"))
-        new = materialize(labels.join(heard, "node").join(jump, "least", "left").select("node", "label", F.least("label", "least", "further").alias("new")), f"{name}-labels")
+        new = made(labels.join(heard, "node").join(jump, "least", "left").select("node", "label", F.least("label", "least", "further").alias("new")), f"{name}-labels")
         changed = new.where("new < label").limit(1).count()
         labels = new.select("node", F.col("new").alias("label"))
         if not changed:
@@ -302,13 +308,28 @@ def _tree_links(rows: DataFrame, percent: int, by: list[str]) -> DataFrame:
     return rows.repartition(*by).sortWithinPartitions(*by, "h").select(*cols).mapInPandas(work, "a long, b long")
 
 
-def _group_links(rows: DataFrame, percent: int, largest: int, name: str) -> DataFrame:
-    """_tree_links of rows (label, rows: size of the group, h, n, bits and perhaps keys)."""
-    rows = rows.withColumn("c", F.col("h"))
-    if largest <= GROUP_ROWS:
-        return _tree_links(rows, percent, ["label"])
-    rows = materialize(rows, name)
-    return _tree_links(rows.where(F.col("rows") <= GROUP_ROWS), percent, ["label"]).unionByName(_large_links(rows.where(F.col("rows") > GROUP_ROWS), percent))
+def _part(by: list[str], p: int, passes: int) -> Column:
+    return F.pmod(F.xxhash64(*by, F.lit(11)), F.lit(passes)) == p
+
+
+def _tree_passes(part: Callable[[Column], DataFrame], percent: int, by: list[str], rows: int, most: int, made: Scratch, name: str) -> DataFrame:
+    """_tree_links of so many rows, about most of them at a time. part gives the rows, with all that trees need, of which
+    the columns by meet a condition."""
+    passes = max(1, -(-rows // most))
+    return reduce(DataFrame.unionByName, [made(_tree_links(part(_part(by, p, passes)), percent, by).distinct(), name) for p in range(passes)])
+
+
+def _group_links(groups: DataFrame, load: DataFrame, percent: int, made: Scratch, name: str) -> DataFrame:
+    """Links of groups (label, h) by what load (h, n, bits) holds of their sets."""
+    sizes = groups.groupBy("label").agg(F.count("*").alias("rows"))
+    total, largest = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.max("rows"), F.lit(0))).first()
+    most, small, found = max(PASS_ROWS, -(-total // PASSES)), groups, []
+    if largest > GROUP_ROWS:
+        large = made(sizes.where(F.col("rows") > GROUP_ROWS), f"{name}-large")
+        found = [_large_links(groups.join(small_side(large), "label"), load, percent, most, made)]
+        small = groups.join(small_side(large), "label", "left_anti")
+    small = small.withColumn("c", F.col("h"))
+    return reduce(DataFrame.unionByName, found, _tree_passes(lambda x: small.where(x).join(load, "h"), percent, ["label"], total, most, made, name))
 
 
 def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
@@ -319,70 +340,104 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     text share a component, repeated rows stay. A null key counts as the smallest: its component_id is null, as is
     that of documents linked with it. Other columns of docs are not looked at.
     """
-    out = _linked_rows(docs, text, key, words, percent, [])
+    made = Scratch()
+    out = materialize(_linked_rows(docs, text, key, words, percent, [], made), "linked-sets")
+    made.clear()
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("least.id")).alias("component_id"))
 
 
-def _linked_rows(docs: DataFrame, text: str, key: str, words: int, percent: int, carry: list[str]) -> DataFrame:
+def _linked_rows(docs: DataFrame, text: str, key: str, words: int, percent: int, carry: list[str], made: Scratch) -> DataFrame:
     """id, the columns carry, n (set size) and least of each row: the smallest (has, id, carry) of its component, null for
-    rows without shingles. With the key, carry tells apart texts under one key."""
-    sets = materialize(shingle_sets(docs, key, text, words, size_levels(percent), percent, carry), "shingle-sets")
+    rows without shingles. With the key, carry tells apart texts under one key. It reads tables of made."""
+    early = Scratch()
+    shingled = early(shingle_sets(docs, key, text, words, size_levels(percent), percent, carry), "shingle-sets")
+    n_keys = shingled.agg(F.sum(F.size("keys"))).first()[0] or 0
+    passes = min(PASSES, 1 + n_keys // PASS_ROWS)
+
+    def keyed(p: int) -> DataFrame:
+        return shingled.where("n > 0").select("h", F.explode("keys").alias("key")).where(_part(["key"], p, passes))
 
-    # One row for each distinct set.
-    classes = sets.where("n > 0").groupBy("h", "n").agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), F.col("id"), *carry)).alias("first"))
-    keyed = sets.where("n > 0").select("h", F.explode("keys").alias("key"))
     # Nodes of level 2 that hold two sets or more, as fingerprints of what they hold; of those that hold the same, one.
     mark = F.xxhash64("h")
-    nodes = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.bit_xor(mark).alias("xor"), F.sum(mark.bitwiseAND(0xFFFFFFFF)).alias("sum")).where("lo <> hi")
-    nodes = materialize(nodes.groupBy("lo", "hi", "xor", "sum").agg(F.min("key").alias("key")).select("key"), "tree-nodes")
-    edges = materialize(keyed.join(small_side(nodes), "key", "left_semi").distinct().select(F.col("h").alias("node"), F.col("key").alias("hub")), "node-edges")
-    hubs = edges.groupBy("hub").agg(F.count("*").alias("rows"))
-    largest = hubs.agg(F.max("rows")).first()[0] or 0
-    members = sets.join(edges.select(F.col("node").alias("h")).distinct(), "h", "left_semi").groupBy("h").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
-    rows = edges.withColumnRenamed("node", "h").join(members, "h").join(hubs, "hub").withColumnRenamed("hub", "label")
-    near = materialize(_group_links(rows, percent, largest, "node-bits").distinct(), "near-sets")
-    families = min_labels(near.select(F.col("a").alias("node"), F.col("b").alias("hub")).union(near.select(F.col("b"), F.col("b"))).distinct(), "family")
+
+    def one_of_alike(nodes: DataFrame) -> DataFrame:
+        return nodes.groupBy("lo", "hi", "xor", "sum").agg(F.min("key").alias("key"))
+
+    def nodes_of(p: int) -> DataFrame:
+        nodes = keyed(p).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.bit_xor(mark).alias("xor"), F.sum(mark.bitwiseAND(0xFFFFFFFF)).alias("sum")).where("lo <> hi")
+        return early(one_of_alike(nodes), "tree-nodes")
+
+    nodes = early(one_of_alike(reduce(DataFrame.unionByName, map(nodes_of, range(passes)))).select("key"), "tree-nodes")
+    n_nodes = nodes.count()
+
+    def edges_of(p: int) -> DataFrame:
+        mine = nodes.where(_part(["key"], p, passes))
+        return made(keyed(p).join(small_side(mine, n_nodes // passes), "key", "left_semi").distinct().select(F.col("h").alias("node"), F.col("key").alias("hub")), "node-edges")
+
+    edges = reduce(DataFrame.unionByName, map(edges_of, range(passes)))
+    members = shingled.select("h", "n", "bits").join(edges.select(F.col("node").alias("h")).distinct(), "h", "left_semi").groupBy("h").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
+    members = made(members, "node-sets")
+    sets = made(shingled.select("id", *carry, "n", "h"), "set-rows")
+    early.clear()
+
+    # One row for each distinct set.
+    classes = sets.where("n > 0").groupBy("h", "n").agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), F.col("id"), *carry)).alias("first"))
+    near = _group_links(edges.select(F.col("hub").alias("label"), F.col("node").alias("h")), members, percent, made, "near-sets")
+    families = min_labels(near.select(F.col("a").alias("node"), F.col("b").alias("hub")).union(near.select(F.col("b"), F.col("b"))).distinct(), "family", made)
 
     # The tokens of the sets in families, one document for each set.
     sizes = families.groupBy("label").agg(F.count("*").alias("rows"))
     lone = families.join(sizes, "label").join(classes.select(F.col("h").alias("node"), "first", "n"), "node")
-    lone = materialize(lone.select("node", "label", "rows", F.col("first.id").alias("id"), *[F.col(f"first.{c}").alias(f"of_{c}") for c in carry], F.col("n").alias("size")), "family-members")
-    n_members = lone.count()
+    lone = made(lone.select("node", "label", "rows", F.col("first.id").alias("id"), *[F.col(f"first.{c}").alias(f"of_{c}") for c in carry], F.col("n").alias("size")), "family-members")
+    n_members, largest = lone.agg(F.count("*"), F.coalesce(F.max("rows"), F.lit(0))).first()
     texts = docs.select(F.col(key).alias("__k"), F.col(text).alias("t"), *carry)
     same = texts["__k"].eqNullSafe(lone["id"])
     for c in carry:
         same = same & texts[c].eqNullSafe(lone[f"of_{c}"])
-    picked = texts.join(small_side(lone, n_members), same).select("t", "node", "label", "rows")
-    tokens = shingle_sets(picked, "node", "t", words, None, percent, ["label", "rows"]).where("id = h").select("label", "rows", "h", "n", "bits", "keys")
-    links = _group_links(tokens, percent, lone.agg(F.max("rows")).first()[0] or 0, "family-tokens")
-    links = materialize(links, "set-links")
-    joined = min_labels(links.select(F.col("a").alias("node"), F.col("b").alias("hub")).union(links.select(F.col("b"), F.col("b"))).distinct(), "component")
+    passes = 1 if n_members <= BROADCAST_ROWS else PASSES
+
+    def picked_of(p: int) -> DataFrame:
+        mine = small_side(lone.where(_part(["id"], p, passes)), n_members // passes)
+        return made(texts.where(_part(["__k"], p, passes)).join(mine, same).select("t", "node", "label", "rows"), "family-texts")
+
+    picked = reduce(DataFrame.unionByName, map(picked_of, range(passes)))
+
+    def tokens(which: Column) -> DataFrame:
+        found = shingle_sets(picked.where(which), "node", "t", words, None, percent, ["label", "rows"]).where("id = h")
+        return found.select("label", "rows", "h", F.col("h").alias("c"), "n", "bits", "keys")
+
+    most, small = max(TOKEN_ROWS, -(-n_members // PASSES)), F.col("rows") <= GROUP_ROWS
+    links = _tree_passes(lambda x: tokens(x & small), percent, ["label"], n_members, most, made, "set-links")
+    if largest > GROUP_ROWS:
+        load = made(tokens(~small).select("h", "n", "bits", "keys").dropDuplicates(["h"]), "family-tokens")
+        links = links.unionByName(_large_links(lone.where(~small).select("label", "rows", F.col("node").alias("h")), load, percent, most, made))
+    joined = min_labels(links.select(F.col("a").alias("node"), F.col("b").alias("hub")).union(links.select(F.col("b"), F.col("b"))).distinct(), "component", made)
 
     least = classes.join(joined.withColumnRenamed("node", "h"), "h").groupBy("label").agg(F.min("first").alias("least"))
     of_set = classes.join(joined.withColumnRenamed("node", "h"), "h", "left").join(least, "label", "left").select("h", "n", F.coalesce("least", "first").alias("least"))
-    return sets.select("id", *carry, "n", "h").join(of_set, ["h", "n"], "left").select("id", *carry, "n", "least")
+    return sets.join(of_set, ["h", "n"], "left").select("id", *carry, "n", "least")
 
 
-def _large_links(large: DataFrame, percent: int) -> DataFrame:
-    """Links of groups of more than GROUP_ROWS sets, in blocks of half as many."""
+def _large_links(large: DataFrame, load: DataFrame, percent: int, most: int, made: Scratch) -> DataFrame:
+    """Links of groups (label, rows, h) of more than GROUP_ROWS sets, in blocks of half as many, by what load holds of the
+    sets; about most rows of pairs of blocks at a time."""
     half = GROUP_ROWS // 2
-    load = [x for x in large.columns if x not in ("label", "rows", "c")]
     parts = F.ceil(F.col("rows") / half).cast("int")
-    dealt = large.withColumn("part", F.pmod(F.xxhash64("h", F.lit(7)), parts).cast("int"))
-    star = dealt.withColumn("pair", F.when(F.col("part") == 0, F.sequence(F.lit(1), parts - 1)).otherwise(F.array("part"))).withColumn("pair", F.explode("pair"))
-    first = materialize(_tree_links(star, percent, ["label", "pair"]), "large-links")
-    found = min_labels(first.select(F.col("a").alias("node"), F.col("b").alias("hub")).union(first.select(F.col("b"), F.col("b"))).distinct(), "large")
+    dealt = large.withColumn("c", F.col("h")).withColumn("part", F.pmod(F.xxhash64("h", F.lit(7)), parts).cast("int"))
+    star = dealt.withColumn("pair", F.when(F.col("part") == 0, F.sequence(F.lit(1), parts - 1)).otherwise(F.array("part"))).select("label", "h", "c", F.explode("pair").alias("pair"))
+    first = _tree_passes(lambda x: star.where(x).join(load, "h"), percent, ["label", "pair"], star.count(), most, made, "large-links")
+    found = min_labels(first.select(F.col("a").alias("node"), F.col("b").alias("hub")).union(first.select(F.col("b"), F.col("b"))).distinct(), "large", made)
     known = dealt.drop("c").join(found.select(F.col("node").alias("h"), F.col("label").alias("c")), "h", "left").withColumn("c", F.coalesce("c", "h"))
     sizes = known.groupBy("label", "c").agg(F.count("*").alias("m"))
     main = sizes.groupBy("label").agg(F.max(F.struct("m", F.negative("c").alias("c"))).alias("x")).select("label", F.negative(F.col("x.c")).alias("main"))
-    known = materialize(known.join(main, "label").withColumn("rest", F.col("c") != F.col("main")), "large-known")
+    known = made(known.join(main, "label").withColumn("rest", F.col("c") != F.col("main")), "large-known")
     rest = known.where("rest").groupBy("label").agg(F.count("*").alias("left_over"))
     known = known.join(rest, "label")
     blocks = F.ceil(F.col("left_over") / half).cast("int")
     mine = known.where("rest").withColumn("x", F.pmod(F.xxhash64("h", F.lit(8)), blocks).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), parts - 1)))
     theirs = known.withColumn("y", F.col("part")).withColumn("x", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    grid = mine.select("label", "x", "y", "c", *load).union(theirs.select("label", "x", "y", "c", *load))
-    return first.unionByName(_tree_links(grid, percent, ["label", "x", "y"]))
+    grid = mine.select("label", "x", "y", "c", "h").union(theirs.select("label", "x", "y", "c", "h"))
+    return first.unionByName(_tree_passes(lambda x: grid.where(x).join(load, "h"), percent, ["label", "x", "y"], grid.count(), most, made, "large-rest"))
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
@@ -390,8 +445,10 @@ def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words:
     as the smallest), of different texts under that key the one of the smallest hash, of rows that share both the one
     whose columns have the smallest hash. Rows without shingles all stay."""
     mark = F.xxhash64(text)
-    found = _linked_rows(docs.withColumn("__th", mark), text, key, words, percent, ["__th"]).where("n > 0")
+    made = Scratch()
+    found = _linked_rows(docs.withColumn("__th", mark), text, key, words, percent, ["__th"], made).where("n > 0")
     found = materialize(found.select(F.col("id").alias("__id"), "__th", F.col("id").eqNullSafe(F.col("least.id")) & (F.col("__th") == F.col("least.__th"))).toDF("__id", "__th", "stays"), "linked-rows")
+    made.clear()
     gone = materialize(found.where("not stays").select("__id", "__th").distinct(), "near-copies")
     again = materialize(found.where("stays").groupBy("__id", "__th").count().where("count > 1").select("__id", "__th"), "repeated-rows")
 

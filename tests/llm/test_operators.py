@@ -4,8 +4,10 @@ import collections
 import hashlib
 import itertools
 import json
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +15,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from siltwork.llm import ann_forest, bpe, chat_format, language_id, license_scan, line_dedup, mixing, quality_mcd, sharding, shingle_join
+from siltwork.llm import ann_forest, bpe, chat_format, common, language_id, license_scan, line_dedup, mixing, quality_mcd, sharding, shingle_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, h string, t string, n int, bits string, d int, shard string, label string, rows int, copies int, c string, k int, s string, m int"
 
@@ -201,6 +203,42 @@ def test_keep_one(spark):
         assert full == [(0, 3), (1, 7), (2, 8), (3, None), (4, None)]
 
 
+def test_shingle_join_in_passes(spark, docs, monkeypatch):
+    """Keys, nodes, texts and pairs of blocks in many passes give what one pass gives."""
+    known = lambda: sorted(map(repr, shingle_join.jaccard_components(docs, words=3, percent=80).collect()))
+    want = known()
+    for name, value in {"PASS_ROWS": 40, "TOKEN_ROWS": 5, "BROADCAST_ROWS": 3, "GROUP_ROWS": 8}.items():
+        monkeypatch.setattr(shingle_join, name, value)
+    assert known() == want
+
+
+def test_keep_one_holds_little_disk(spark):
+    """Neither shuffle files nor the tables of keys and tokens outlive their use."""
+    held = lambda: {f.getName() for f in _files(spark) if f.getName().startswith("shuffle_")}
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    left, before = _left(spark), held()
+    got = shingle_join.keep_one(rows)
+    assert got.count() > 0
+    more = {re.sub("-[0-9a-f]{32}$", "", x) for x in _left(spark) - left}
+    assert more == {"linked-rows", "near-copies", "repeated-rows"}
+    big = common.materialize(rows.repartition(7, "doc_id"), "held")
+    until = time.time() + 20
+    while (now := held() - before) and time.time() < until and sum(f.length() for f in _files(spark) if f.getName() in now) > 100_000:
+        time.sleep(0.2)
+    assert big.count() == rows.count()
+    assert sum(f.length() for f in _files(spark) if f.getName() in held() - before) <= 100_000
+
+
+def _files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return [found.apply(i) for i in range(found.size())]
+
+
+def _left(spark):
+    top = common.shared_folder(spark).removeprefix("file:") + "/siltwork"
+    return set(os.listdir(top)) if os.path.isdir(top) else set()
+
+
 def test_ann_forest(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((600, 16))
