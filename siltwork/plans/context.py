@@ -166,7 +166,7 @@ def json_documents(spark, d):
     """Files of one JSON list each."""
     rows = table(spark, d, "labels").select("doc_id", "quality", "toxic")
     at = fresh_path(spark, "json-documents")
-    rows.groupBy(F.col("doc_id") % 4).agg(F.to_json(F.collect_list(F.struct("doc_id", "quality", "toxic"))).alias("value")).select("value").repartition(4).write.option("lineSep", " ").text(at)
+    S.write_json_documents(rows, at)
     return S.read_json_documents(spark, at, rows.schema)
 
 

@@ -32,6 +32,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**{k: v for k, v in CSV.items() if k not in ("multiLine", "emptyValue")}).option("escapeQuotes", True).csv(path)
 
 
+def write_json_documents(df: DataFrame, path: str, rows: int = 50_000) -> None:
+    """Files that each hold one JSON list, of so many rows of a task at most. A reader takes one document of a file, so no
+    two lists may share one."""
+    at = F.monotonically_increasing_id()
+    dealt = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.shiftright(at, 33).alias("task"), F.floor(at.bitwiseAND((1 << 33) - 1) / rows).alias("block"))
+    lists = dealt.groupBy("task", "block").agg(F.to_json(F.collect_list("row")).alias("value")).select("value")
+    lists.write.option("maxRecordsPerFile", 1).option("lineSep", " ").text(path)
+
+
 def read_json_documents(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Files that each hold one JSON document or a list of objects."""
     return spark.read.option("multiLine", True).schema(schema).json(path)

@@ -31,6 +31,29 @@ def test_json_documents(spark, tmp_path):
     assert S.read_json_documents(spark, str(tmp_path), "i int").count() == 2
 
 
+def test_json_documents_share_no_file(spark, tmp_path):
+    """Many lists from many tasks, ids that are null or below 0, repeated rows, and no rows at all."""
+    from siltwork.plans import context
+
+    rows = [(i, i % 2, 0) for i in range(-40, 400)] + [(None, 1, None), (None, None, None), (7, 1, 0)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality long, toxic long")
+    labels.repartition(9).write.parquet(f"{tmp_path}/labels.parquet")
+    wide = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    before = {key: spark.conf.get(key) for key in wide}
+    try:
+        for key, value in wide.items():
+            spark.conf.set(key, value)
+        got = context.json_documents(spark, str(tmp_path)).collect()
+        S.write_json_documents(labels, str(tmp_path / "j"), rows=3)
+        again = S.read_json_documents(spark, str(tmp_path / "j"), labels.schema).collect()
+        S.write_json_documents(labels.limit(0), str(tmp_path / "none"))
+        assert S.read_json_documents(spark, str(tmp_path / "none"), labels.schema).count() == 0
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sorted(map(repr, got)) == sorted(map(repr, again)) == sorted(map(repr, labels.collect()))
+
+
 def test_shards_replace_only_their_keys(spark, tmp_path):
     at = str(tmp_path / "s")
     schema = StructType.fromDDL("k int, v string")
