@@ -42,8 +42,11 @@ FAN_OUT = 64
 #: Tokens below which a region says little.
 WEAK = 2
 GROUP_ROWS = 8_192
-#: A pass shuffles a PASSES-th part of all rows, or so many: of keys or of sets in nodes, and of sets with their tokens.
+#: A pass shuffles a PASSES-th part of all rows, or so many: of sets in nodes, and of sets with their tokens. Keys are two
+#: numbers, of which a pass holds four times PASS_ROWS.
 PASSES, PASS_ROWS, TOKEN_ROWS = 4, 500_000, 50_000
+#: Bytes of bitmaps that a broadcast may hold.
+BROADCAST_BYTES = 8 << 20
 BATCH_CHARS = 1_500_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -253,12 +256,42 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int, levels: list[
     return docs.select(F.col(key).alias("id"), F.col(text).alias("t"), *carry).mapInArrow(work, f"id {docs.schema[key].dataType.simpleString()}" + (f", {kinds}" if kinds else "") + ", n long, h long, bits binary, keys array<long>")
 
 
-def min_labels(edges: DataFrame, name: str, made: Scratch) -> DataFrame:
-    """Connected components of (node, hub) edges: (node, label), the smallest node of each component.
-
-    Hubs and nodes pass their smallest label to each other; labels then jump to the label of their label. Rounds
-    go on until nothing changes. Nothing leaves the executors but a count.
+def _labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in pairs (a, b), sorted, and for each the place of the smallest one that pairs connect it with."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[x], label[y])
+        new = label.copy()
+        for side in (x, y, label[x], label[y]):
+            np.minimum.at(new, side, least)
+        new = new[new]
+        if (new == label).all():
+            return nodes, label
+        label = new
+
+
+def min_labels(pairs: DataFrame, name: str, made: Scratch, sized: bool = False) -> DataFrame:
+    """Connected components of pairs (a, b): (node, label), the smallest node of each component; if sized also rows, the
+    number of its nodes.
+
+    Up to BROADCAST_ROWS pairs are labelled by one task, without a shuffle. Of more, hubs (b) and nodes pass their smallest
+    label to each other; labels then jump to the label of their label. Rounds go on until nothing changes. Nothing leaves
+    the executors but a count.
     """
+    if pairs.count() <= BROADCAST_ROWS:
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = [(x["a"].to_numpy(np.int64), x["b"].to_numpy(np.int64)) for x in batches]
+            nodes, label = _labels(*(np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*held, strict=True) if held else ((), ()))))
+            yield pd.DataFrame({"node": nodes, "label": nodes[label], "rows": np.bincount(label, minlength=len(nodes))[label]})
+            del held, nodes, label
+            give_back()
+
+        found = made(pairs.select("a", "b").coalesce(1).mapInPandas(work, "node long, label long, rows long"), f"{name}-labels")
+        return found if sized else found.drop("rows")
+    edges = made(pairs.select(F.col("a").alias("node"), F.col("b").alias("hub")).union(pairs.select("b", "b")).distinct(), f"{name}-edges")
     labels = made(edges.groupBy("node").agg(F.min("node").alias("label")), f"{name}-labels")
     while True:
         hub = edges.join(labels, "node").groupBy("hub").agg(F.min("label").alias("least"))
@@ -268,7 +301,7 @@ def min_labels(edges: DataFrame, name: str, made: Scratch) -> DataFrame:
         changed = new.where("new < label").limit(1).count()
         labels = new.select("node", F.col("new").alias("label"))
         if not changed:
-            return labels
+            return labels.join(labels.groupBy("label").agg(F.count("*").alias("rows")), "label") if sized else labels
 
 
 def _tree_links(rows: DataFrame, percent: int, by: list[str]) -> DataFrame:
@@ -312,11 +345,12 @@ def _part(by: list[str], p: int, passes: int) -> Column:
     return F.pmod(F.xxhash64(*by, F.lit(11)), F.lit(passes)) == p
 
 
-def _tree_passes(part: Callable[[Column], DataFrame], percent: int, by: list[str], rows: int, most: int, made: Scratch, name: str) -> DataFrame:
+def _tree_passes(part: Callable[[Column], DataFrame], percent: int, by: list[str], rows: int, most: int, made: Scratch, name: str, once: bool = False) -> DataFrame:
     """_tree_links of so many rows, about most of them at a time. part gives the rows, with all that trees need, of which
-    the columns by meet a condition."""
+    the columns by meet a condition. once: no set is in two groups, so no link comes twice."""
     passes = max(1, -(-rows // most))
-    return reduce(DataFrame.unionByName, [made(_tree_links(part(_part(by, p, passes)), percent, by).distinct(), name) for p in range(passes)])
+    found = (_tree_links(part(_part(by, p, passes)), percent, by) for p in range(passes))
+    return reduce(DataFrame.unionByName, [made(x if once else x.distinct(), name) for x in found])
 
 
 def _group_links(groups: DataFrame, load: DataFrame, percent: int, made: Scratch, name: str) -> DataFrame:
@@ -329,6 +363,8 @@ def _group_links(groups: DataFrame, load: DataFrame, percent: int, made: Scratch
         found = [_large_links(groups.join(small_side(large), "label"), load, percent, most, made)]
         small = groups.join(small_side(large), "label", "left_anti")
     small = small.withColumn("c", F.col("h"))
+    sets, held = load.agg(F.count("*"), F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()
+    load = small_side(load, sets) if held <= BROADCAST_BYTES else load
     return reduce(DataFrame.unionByName, found, _tree_passes(lambda x: small.where(x).join(load, "h"), percent, ["label"], total, most, made, name))
 
 
@@ -352,7 +388,7 @@ def _linked_rows(docs: DataFrame, text: str, key: str, words: int, percent: int,
     early = Scratch()
     shingled = early(shingle_sets(docs, key, text, words, size_levels(percent), percent, carry), "shingle-sets")
     n_keys = shingled.agg(F.sum(F.size("keys"))).first()[0] or 0
-    passes = min(PASSES, 1 + n_keys // PASS_ROWS)
+    passes = min(PASSES, 1 + n_keys // (4 * PASS_ROWS))
 
     def keyed(p: int) -> DataFrame:
         return shingled.where("n > 0").select("h", F.explode("keys").alias("key")).where(_part(["key"], p, passes))
@@ -365,7 +401,7 @@ def _linked_rows(docs: DataFrame, text: str, key: str, words: int, percent: int,
 
     def nodes_of(p: int) -> DataFrame:
         nodes = keyed(p).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.bit_xor(mark).alias("xor"), F.sum(mark.bitwiseAND(0xFFFFFFFF)).alias("sum")).where("lo <> hi")
-        return early(one_of_alike(nodes), "tree-nodes")
+        return early(one_of_alike(nodes), "tree-nodes") if passes > 1 else nodes
 
     nodes = early(one_of_alike(reduce(DataFrame.unionByName, map(nodes_of, range(passes)))).select("key"), "tree-nodes")
     n_nodes = nodes.count()
@@ -375,19 +411,21 @@ def _linked_rows(docs: DataFrame, text: str, key: str, words: int, percent: int,
         return made(keyed(p).join(small_side(mine, n_nodes // passes), "key", "left_semi").distinct().select(F.col("h").alias("node"), F.col("key").alias("hub")), "node-edges")
 
     edges = reduce(DataFrame.unionByName, map(edges_of, range(passes)))
-    members = shingled.select("h", "n", "bits").join(edges.select(F.col("node").alias("h")).distinct(), "h", "left_semi").groupBy("h").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
-    members = made(members, "node-sets")
+    members = shingled.groupBy("h").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
+    in_nodes = edges.select(F.col("node").alias("h"))
+    in_nodes = F.broadcast(in_nodes) if edges.count() <= BROADCAST_ROWS else in_nodes.distinct()
+    members = made(members.join(in_nodes, "h", "left_semi"), "node-sets")
     sets = made(shingled.select("id", *carry, "n", "h"), "set-rows")
     early.clear()
 
     # One row for each distinct set.
-    classes = sets.where("n > 0").groupBy("h", "n").agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), F.col("id"), *carry)).alias("first"))
+    own = F.struct(F.col("id").isNotNull().alias("has"), F.col("id"), *carry)
+    classes = sets.where("n > 0").groupBy("h", "n").agg(F.min(own).alias("first"), F.count("*").alias("copies"))
     near = _group_links(edges.select(F.col("hub").alias("label"), F.col("node").alias("h")), members, percent, made, "near-sets")
-    families = min_labels(near.select(F.col("a").alias("node"), F.col("b").alias("hub")).union(near.select(F.col("b"), F.col("b"))).distinct(), "family", made)
+    families = min_labels(near, "family", made, sized=True)
 
     # The tokens of the sets in families, one document for each set.
-    sizes = families.groupBy("label").agg(F.count("*").alias("rows"))
-    lone = families.join(sizes, "label").join(classes.select(F.col("h").alias("node"), "first", "n"), "node")
+    lone = classes.select(F.col("h").alias("node"), "first", "n").join(small_side(families), "node")
     lone = made(lone.select("node", "label", "rows", F.col("first.id").alias("id"), *[F.col(f"first.{c}").alias(f"of_{c}") for c in carry], F.col("n").alias("size")), "family-members")
     n_members, largest = lone.agg(F.count("*"), F.coalesce(F.max("rows"), F.lit(0))).first()
     texts = docs.select(F.col(key).alias("__k"), F.col(text).alias("t"), *carry)
@@ -407,15 +445,19 @@ def _linked_rows(docs: DataFrame, text: str, key: str, words: int, percent: int,
         return found.select("label", "rows", "h", F.col("h").alias("c"), "n", "bits", "keys")
 
     most, small = max(TOKEN_ROWS, -(-n_members // PASSES)), F.col("rows") <= GROUP_ROWS
-    links = _tree_passes(lambda x: tokens(x & small), percent, ["label"], n_members, most, made, "set-links")
+    links = _tree_passes(lambda x: tokens(x & small), percent, ["label"], n_members, most, made, "set-links", once=True)
     if largest > GROUP_ROWS:
         load = made(tokens(~small).select("h", "n", "bits", "keys").dropDuplicates(["h"]), "family-tokens")
         links = links.unionByName(_large_links(lone.where(~small).select("label", "rows", F.col("node").alias("h")), load, percent, most, made))
-    joined = min_labels(links.select(F.col("a").alias("node"), F.col("b").alias("hub")).union(links.select(F.col("b"), F.col("b"))).distinct(), "component", made)
+    joined = min_labels(links, "component", made).withColumnRenamed("node", "h")
+    n_joined = joined.count()
+    joined = small_side(joined, n_joined)
 
-    least = classes.join(joined.withColumnRenamed("node", "h"), "h").groupBy("label").agg(F.min("first").alias("least"))
-    of_set = classes.join(joined.withColumnRenamed("node", "h"), "h", "left").join(least, "label", "left").select("h", "n", F.coalesce("least", "first").alias("least"))
-    return sets.join(of_set, ["h", "n"], "left").select("id", *carry, "n", "least")
+    least = classes.join(joined, "h").groupBy("label").agg(F.min("first").alias("least"))
+    # Rows of sets that have neither links nor copies are their own component.
+    shared = classes.join(joined, "h", "left").where("label is not null or copies > 1").join(small_side(least, n_joined), "label", "left")
+    shared = made(shared.select("h", "n", F.coalesce("least", "first").alias("least")), "shared-sets")
+    return sets.join(small_side(shared), ["h", "n"], "left").select("id", *carry, "n", F.when(F.col("n") > 0, F.coalesce("least", own)).alias("least"))
 
 
 def _large_links(large: DataFrame, load: DataFrame, percent: int, most: int, made: Scratch) -> DataFrame:
@@ -426,7 +468,7 @@ def _large_links(large: DataFrame, load: DataFrame, percent: int, most: int, mad
     dealt = large.withColumn("c", F.col("h")).withColumn("part", F.pmod(F.xxhash64("h", F.lit(7)), parts).cast("int"))
     star = dealt.withColumn("pair", F.when(F.col("part") == 0, F.sequence(F.lit(1), parts - 1)).otherwise(F.array("part"))).select("label", "h", "c", F.explode("pair").alias("pair"))
     first = _tree_passes(lambda x: star.where(x).join(load, "h"), percent, ["label", "pair"], star.count(), most, made, "large-links")
-    found = min_labels(first.select(F.col("a").alias("node"), F.col("b").alias("hub")).union(first.select(F.col("b"), F.col("b"))).distinct(), "large", made)
+    found = min_labels(first, "large", made)
     known = dealt.drop("c").join(found.select(F.col("node").alias("h"), F.col("label").alias("c")), "h", "left").withColumn("c", F.coalesce("c", "h"))
     sizes = known.groupBy("label", "c").agg(F.count("*").alias("m"))
     main = sizes.groupBy("label").agg(F.max(F.struct("m", F.negative("c").alias("c"))).alias("x")).select("label", F.negative(F.col("x.c")).alias("main"))
